@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm import coarse, mcl, rabitq
+from vecloom.llm import cnn, coarse, curriculum, fmindex, mcl, rabitq
 from vecloom.sources.tables import read
 
 
@@ -37,7 +37,58 @@ def p3_clusters(spark: SparkSession, base: str) -> DataFrame:
     return mcl.similar_groups(*_index(spark, base)).described()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p1_codes, p3_found, p3_clusters)}
+def _leaks(spark: SparkSession, base: str) -> DataFrame:
+    return fmindex.leaks(read(spark, base, "documents"), read(spark, base, "eval_items"))
+
+
+def p6_found(spark: SparkSession, base: str) -> DataFrame:
+    return fmindex.leaked_pairs(_leaks(spark, base))
+
+
+def p6_removal_spans(spark: SparkSession, base: str) -> DataFrame:
+    return fmindex.removal_spans(_leaks(spark, base))
+
+
+def _mix(spark: SparkSession, base: str) -> curriculum.Mix:
+    return curriculum.Mix(read(spark, base, "documents"), read(spark, base, "mix_targets"))
+
+
+def p7_found(spark: SparkSession, base: str) -> DataFrame:
+    return _mix(spark, base).report().where("short").select("plan", "source")
+
+
+def p7_report(spark: SparkSession, base: str) -> DataFrame:
+    return _mix(spark, base).report()
+
+
+def p7_training_order(spark: SparkSession, base: str) -> DataFrame:
+    return _mix(spark, base).order()
+
+
+def _scores(spark: SparkSession, base: str) -> DataFrame:
+    documents = read(spark, base, "documents")
+    return cnn.scored(documents, cnn.fit_reviewed(documents, read(spark, base, "review_labels")))
+
+
+def p8_found(spark: SparkSession, base: str) -> DataFrame:
+    return _scores(spark, base).where("abusive and doc_id is not null").select("doc_id").distinct()
+
+
+def p8_scores(spark: SparkSession, base: str) -> DataFrame:
+    return _scores(spark, base).select("doc_id", "language", "score", "abusive")
+
+
+def p8_rates(spark: SparkSession, base: str) -> DataFrame:
+    return cnn.rates(_scores(spark, base))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_neighbours, p1_codes, p3_found, p3_clusters, p6_found, p6_removal_spans, p7_found, p7_report, p7_training_order,
+        p8_found, p8_scores, p8_rates,
+    )
+}
 
 _USABLE = "coalesce(vector IS NOT NULL AND len(vector) = 32 AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x))) = 0, false)"
 _SQ = " + ".join(f"(a.v[{i}]::DOUBLE - b.v[{i}]::DOUBLE) * (a.v[{i}]::DOUBLE - b.v[{i}]::DOUBLE)" for i in range(1, 33))
