@@ -2,9 +2,10 @@
 
 1. Links: every pair of listed vectors of an index within the squared distance ``radius_sq``, found exactly.  Vectors meet in the
    cell of their nearest checkpoint centroid; a vector also visits the cells beyond whose bisector a neighbour could
-   lie.  Exact copies are tied to one representative by a single link each.
-2. Vectors with the same neighbourhood (each other's included) act as one node with a weight: flow cannot tell
-   them apart.  This takes the pairs out of dense groups.
+   lie.
+2. Exact copies, and vectors with the same neighbourhood (each other included), act as one node with a weight: flow cannot
+   tell them apart.  They are tied to one of them by a single link each, within their cell already, so the pairs of a
+   dense group never leave it.
 3. Flow: a column-stochastic sparse matrix is squared, inflated (entries to a power, columns rescaled) and pruned
    until it stands still.  A column's strongest row is its attractor; columns with one attractor are a cluster,
    and the members of strongest flow are its typical ones.
@@ -29,7 +30,7 @@ from vecloom.sources.tables import durable, last_checkpoints
 BAND_ROWS = 16_384
 #: Width of a band in radii.
 BAND_WIDTH = 4.0
-HOME, VISITOR, TIE = 0, 1, 2
+INNER, HOME, VISITOR, TIE = 0, 1, 2, 3
 PLACED = "index_id int, cluster int, band int, side int, id bigint, other bigint, vec array<float>"
 LINKS = "a bigint, b bigint, copy int"
 _CHUNK = 1_024
@@ -57,19 +58,25 @@ def _place(radius: float):
         width = BAND_WIDTH * radius
         banded = cells.counts > BAND_ROWS
         bands = lambda cell, at: np.where(banded[cell], np.floor(at / width), 0).astype(np.int32)
-        cols = [(home, bands(home, along), np.zeros(len(own), np.int32), np.arange(len(own)))]
+        cols = []
         # the next band of the same cell, if a neighbour may lie there
         up = np.flatnonzero(banded[home] & (bands(home, along + radius * 1.000001) > bands(home, along)))
-        cols.append((home[up], bands(home[up], along[up]) + 1, np.ones(len(up), np.int32), up))
+        down = np.flatnonzero(banded[home] & (bands(home, along - radius * 1.000001) < bands(home, along)))
+        cols.append((home[up], bands(home[up], along[up]) + 1, np.full(len(up), VISITOR, np.int32), up))
         # cells of greater number whose border with the home cell is within the radius
         apart = np.sqrt(((cells.centroids[:, None] - cells.centroids[None]) ** 2).sum(2))
         near = dist - dist[np.arange(len(own)), home][:, None] <= 2.0 * radius * apart[home] * 1.000001 + 1e-9
+        near[np.arange(len(own)), home] = False
+        # who has no neighbour outside the cell knows its whole neighbourhood there
+        kind = np.where(near.any(1), HOME, INNER).astype(np.int32)
+        kind[up] = kind[down] = HOME
+        cols.insert(0, (home, bands(home, along), kind, np.arange(len(own))))
         near &= np.arange(len(cells.clusters))[None] > home[:, None]
         who, cell = np.nonzero(near)
         first, last = bands(cell, along[who] - radius * 1.000001), bands(cell, along[who] + radius * 1.000001)
         for shift in range(int((last - first).max(initial=0)) + 1):
             at = first + shift <= last
-            cols.append((cell[at], (first + shift)[at], np.ones(int(at.sum()), np.int32), who[at]))
+            cols.append((cell[at], (first + shift)[at], np.full(int(at.sum()), VISITOR, np.int32), who[at]))
         cell, band, side, who = (np.concatenate(c) for c in zip(*cols))
         n, m = len(who), len(tied)
         lists = pa.concat_arrays([_lists(points[who]), _lists(np.zeros((m, points.shape[1]), np.float32))]) if n else _lists(points[who])
@@ -109,6 +116,26 @@ def near_pairs(a: np.ndarray, b: np.ndarray | None, limit: float, along: np.ndar
             yield oa[x[exact]], ob[y[exact]]
 
 
+def _scrambled(ids: np.ndarray, salt: int) -> np.ndarray:
+    """A 64-bit hash of ids."""
+    z = ids.astype(np.uint64) + np.uint64(salt * 0x9E3779B97F4A7C15 % 2**64)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def _gather_hood(count: np.ndarray, hood: np.ndarray, at: np.ndarray, other: np.ndarray) -> None:
+    """Add neighbours ``other`` to the neighbourhoods of the rows ``at``, in place."""
+    if not len(at):
+        return
+    order = np.argsort(at, kind="stable")
+    at, other = at[order], other[order]
+    starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    count[at[starts]] += np.diff(np.r_[starts, len(at)])
+    for k in (0, 1):
+        hood[k, at[starts]] ^= np.bitwise_xor.reduceat(_scrambled(other, k + 1), starts)
+
+
 def _link(d: int, limit: float):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("copy", pa.int32())])
     along = rotation(d)[:, 1] / np.linalg.norm(rotation(d)[:, 1])
@@ -117,25 +144,50 @@ def _link(d: int, limit: float):
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.full(len(a), copy, np.int32))], schema=schema)
 
     def cell(homes: list, visitors: list) -> Iterator[pa.RecordBatch]:
-        ids, x = (np.concatenate(c) for c in zip(*homes))
+        ids, x, inner = (np.concatenate(c) for c in zip(*homes))
         x = x.astype(np.float64)
         order = np.lexsort((ids, *x.T[::-1]))
-        ids, x = ids[order], x[order]
+        ids, x, inner = ids[order], x[order], inner[order]
         fresh = np.r_[True, (x[1:] != x[:-1]).any(1)]
-        lead = ids[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
-        same = lead != ids
-        if same.any():
-            yield rows(lead[same], ids[same], 0)
-        ids, x = ids[fresh], x[fresh]
-        for i, j in near_pairs(x, None, limit, along):
-            if len(i):
-                yield rows(ids[i], ids[j], 0)
-        if visitors:
-            v_ids, v = (np.concatenate(c) for c in zip(*visitors))
-            for i, j in near_pairs(x, v.astype(np.float64), limit, along):
-                apart = ids[i] != v_ids[j]
-                if apart.any():
-                    yield rows(ids[i][apart], v_ids[j][apart], 0)
+        leader = np.cumsum(fresh) - 1
+        member, ids, x, inner = ids, ids[fresh], x[fresh], inner[fresh]
+        v_ids, v = (np.concatenate(c) for c in zip(*visitors)) if visitors else (np.zeros(0, np.int64), np.zeros((0, d), np.float32))
+        v = v.astype(np.float64)
+
+        def pairs() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            """(home, home or -1, id of the other) of every pair with a home."""
+            for i, j in near_pairs(x, None, limit, along):
+                yield i, j, ids[j]
+            if len(v):
+                for i, j in near_pairs(x, v, limit, along):
+                    other = ids[i] != v_ids[j]
+                    yield i[other], np.full(int(other.sum()), -1), v_ids[j[other]]
+
+        # neighbourhoods as two hashes: inner vectors with the same one, themselves included, are tied to one of them
+        count = np.ones(len(ids), np.int64)
+        hood = np.stack([_scrambled(ids, 1), _scrambled(ids, 2)])
+        for i, j, other in pairs():
+            _gather_hood(count, hood, i, other)
+            back = j >= 0
+            _gather_hood(count, hood, j[back], ids[i[back]])
+        own = np.where(inner, -1, np.arange(len(ids)))  # others stay by themselves
+        order = np.lexsort((ids, hood[1], hood[0], count, own))
+        alike = (own[order][1:] == -1) & (own[order][1:] == own[order][:-1])
+        alike &= (count[order][1:] == count[order][:-1]) & (hood[:, order][:, 1:] == hood[:, order][:, :-1]).all(0)
+        first = np.r_[True, ~alike]
+        lead = np.empty(len(ids), np.int64)
+        lead[order] = order[np.flatnonzero(first)[np.cumsum(first) - 1]]
+        to = ids[lead[leader]]
+        tied = to != member
+        if tied.any():
+            yield rows(to[tied], member[tied], 1)
+        size = np.bincount(lead, minlength=len(ids))
+        head = lead == np.arange(len(ids))
+        if (head & (count > size)).any():  # else every neighbourhood is one set of ties
+            for i, j, other in pairs():
+                keep = head[i] & np.where(j >= 0, head[np.maximum(j, 0)], True)
+                if keep.any():
+                    yield rows(ids[i[keep]], other[keep], 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, homes, visitors = None, [], []
@@ -153,9 +205,9 @@ def _link(d: int, limit: float):
                 if cluster[a] == -2:
                     yield rows(other[a:z], ids[a:z], 1)
                     continue
-                split = a + int((side[a:z] == HOME).sum())
+                split = a + int((side[a:z] <= HOME).sum())
                 if split > a:
-                    homes.append((ids[a:split], x[a:split].copy()))
+                    homes.append((ids[a:split], x[a:split].copy(), side[a:split] == INNER))
                 if split < z:
                     visitors.append((ids[split:z], x[split:z].copy()))
         if homes:
@@ -167,8 +219,8 @@ def _link(d: int, limit: float):
 def links(rows: DataFrame, centroids: DataFrame, radius_sq: float = 2.0, d: int = 32) -> DataFrame:
     """(a, b, copy): the links between the vectors of ``rows`` (index_id, id, vec); no index links to another.
 
-    ``copy`` 1: b is an exact copy of a and has no other links.  ``copy`` 0: within the radius.  No link between
-    different vectors is missing; exact copies are linked to one of them only.
+    ``copy`` 1: b is tied to a, being an exact copy of it or having the same neighbourhood; b's links are a's.  A tie's a may
+    itself be tied, once.  ``copy`` 0: within the radius.  No link is missing, only ties stand for many.
     """
     placed = over_cells(rows, centroids, d, _place(float(np.sqrt(radius_sq))), PLACED)
     met = placed.repartition("index_id", "cluster", "band").sortWithinPartitions("index_id", "cluster", "band", "side")
@@ -265,11 +317,14 @@ class Clustering:
     def __init__(self, found: DataFrame, inflation: float = 2.0, prune: float = 1e-3):
         self.links = found = durable(found)
         edges = found.where("copy = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        ties = found.where("copy = 1").select(F.col("b").alias("global_id"), F.col("a").alias("node"))
+        first = found.where("copy = 1").select(F.col("b").alias("global_id"), F.col("a").alias("node"))
+        second = first.select(F.col("global_id").alias("node"), F.col("node").alias("head"))
+        ties = durable(first.join(second, "node", "left").select("global_id", F.coalesce("head", "node").alias("node")))
         twin = durable(twins(edges))
         lean = durable(quotient(edges, twin))
         moved = lean.select(F.col("a").alias("twin")).unionByName(lean.select(F.col("b").alias("twin"))).distinct()
-        weights = twin.join(moved, "twin", "left_semi").groupBy(F.col("twin").alias("node")).agg(F.count("*").alias("weight"))
+        tied = ties.groupBy("node").agg(F.count("*").alias("tied"))
+        weights = twin.join(moved, "twin", "left_semi").join(tied, "node", "left").groupBy(F.col("twin").alias("node")).agg(F.sum(1 + F.coalesce("tied", F.lit(0))).alias("weight"))
         label = durable(attractors(markov_flow(lean, weights, inflation, prune)))
         nodes = twin.join(label.withColumnRenamed("node", "twin"), "twin", "left").select("node", F.coalesce("cluster", "twin").alias("cluster"), F.coalesce("strength", F.lit(1.0)).alias("strength"))
         alone = ties.select("node").distinct().join(twin.select("node"), "node", "left_anti").select("node", F.col("node").alias("cluster"), F.lit(1.0).alias("strength"))
