@@ -50,11 +50,11 @@ def sq_l2(a: Column | str, b: Column | str) -> Column:
 
 
 def sq_l2_at(a: Column | str, b: Column | str, d: int) -> Column:
-    """The same for a known length, unrolled in order: one expression inside whole-stage code."""
+    """The same for a known length, unrolled in order: one expression inside whole-stage code; null for shorter arrays."""
     a, b = _col(a), _col(b)
     total = F.lit(0.0)
     for i in range(d):
-        diff = a[i].cast("double") - b[i].cast("double")
+        diff = F.get(a, F.lit(i)).cast("double") - F.get(b, F.lit(i)).cast("double")
         total = total + diff * diff
     return total
 
@@ -63,7 +63,7 @@ def dot_at(a: Column | str, b: Column | str, d: int) -> Column:
     a, b = _col(a), _col(b)
     total = F.lit(0.0)
     for i in range(d):
-        total = total + a[i].cast("double") * b[i].cast("double")
+        total = total + F.get(a, F.lit(i)).cast("double") * F.get(b, F.lit(i)).cast("double")
     return total
 
 
