@@ -130,7 +130,7 @@ class Ledger:
     def pending(self, source: DataFrame) -> DataFrame:
         """The rows of ``source`` whose number the ledger lacks.  Rows without key or number never pend."""
         sound = source.where(F.col(self.key).isNotNull() & F.col(self.seq).isNotNull())
-        return flag_inside(sound, self.processed(), "_done", self.key, self.seq).where("not _done").drop("_done")
+        return flag_inside(sound, self.processed(), "_vecloom_done", self.key, self.seq).where("not _vecloom_done").drop("_vecloom_done")
 
     def run(self, source: DataFrame, process, before_commit=None) -> int:
         """Process the pending rows with ``process(DataFrame) -> DataFrame``; returns the manifest's number.
