@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vecloom.llm.coarse import Cells, centroid_rows, matrix, over_cells, usable_vectors
-from vecloom.llm.rabitq import _lists, rotation
+from vecloom.operators.coarse import Cells, centroid_rows, lists, matrix, over_cells, usable_vectors
+from vecloom.llm.rabitq import rotation
 from vecloom.sources.tables import durable, last_checkpoints
 
 #: Rows a cell may state before it is cut into bands along one direction.
@@ -39,7 +39,7 @@ _CHUNK = 1_024
 def listed_vectors(vectors: DataFrame, checkpoints: DataFrame, clusters: DataFrame, d: int) -> DataFrame:
     """(index_id, id, vec): usable vectors listed in their index's last complete checkpoint."""
     last = last_checkpoints(checkpoints).select("index_id", "checkpoint_id")
-    listed = clusters.join(last, "checkpoint_id").select("index_id", F.explode("global_ids").alias("id")).where("id is not null").distinct()
+    listed = clusters.select("checkpoint_id", "global_ids").join(last, "checkpoint_id").select("index_id", F.explode("global_ids").alias("id")).where("id is not null").distinct()
     return usable_vectors(vectors, d).join(listed, ["index_id", "id"], "left_semi")
 
 
@@ -79,10 +79,10 @@ def _place(radius: float):
             cols.append((cell[at], (first + shift)[at], np.full(int(at.sum()), VISITOR, np.int32), who[at]))
         cell, band, side, who = (np.concatenate(c) for c in zip(*cols))
         n, m = len(who), len(tied)
-        lists = pa.concat_arrays([_lists(points[who]), _lists(np.zeros((m, points.shape[1]), np.float32))]) if n else _lists(points[who])
+        vectors = pa.concat_arrays([lists(points[who]), lists(np.zeros((m, points.shape[1]), np.float32))])
         return [
             np.full(n + m, index, np.int32), np.r_[cells.clusters[cell], np.full(m, -2, np.int32)], np.r_[band, (ids[tied] % 64).astype(np.int32)],
-            np.r_[side, np.full(m, TIE, np.int32)], np.r_[own[who], ids[tied]], np.r_[own[who], head], lists,
+            np.r_[side, np.full(m, TIE, np.int32)], np.r_[own[who], ids[tied]], np.r_[own[who], head], vectors,
         ]
 
     return visit

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm import cnn, coarse, curriculum, fmindex, mcl, rabitq
+from vecloom.llm import cnn, curriculum, fmindex, mcl, rabitq
+from vecloom.operators import coarse
 from vecloom.sources.tables import read
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vecloom.functions.vecmath import usable
-from vecloom.llm.coarse import Cells, centroid_rows, matrix, over_cells, usable_vectors
+from vecloom.operators.coarse import Cells, centroid_rows, lists, matrix, over_cells, usable_vectors
 
 #: Bits of a code, a multiple of 64 and at least the dimension; shorter vectors are padded with zeros before rotation.
 BITS = 128
@@ -146,17 +146,11 @@ def _blocks(cells: Cells) -> np.ndarray:
     return np.maximum(1, -(-cells.counts // BLOCK))
 
 
-def _lists(x: np.ndarray) -> pa.Array:
-    """Rows of a float matrix as a list column."""
-    n, d = x.shape
-    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * d), pa.array(x.astype(np.float32).ravel()))
-
-
 def _place(cells: Cells, index: int, ids: np.ndarray, x: np.ndarray) -> list:
     home = cells.distances(x.astype(np.float64)).argmin(1)
     salt = (ids * np.int64(-7046029254386353131) >> np.int64(33)) % _blocks(cells)[home]
     n = len(ids)
-    return [np.full(n, index, np.int32), cells.clusters[home], salt.astype(np.int32), np.zeros(n, np.int32), ids, _lists(x)]
+    return [np.full(n, index, np.int32), cells.clusters[home], salt.astype(np.int32), np.zeros(n, np.int32), ids, lists(x)]
 
 
 def _route(probes: int):
@@ -170,7 +164,7 @@ def _route(probes: int):
         who, cell = np.repeat(who, blocks), np.repeat(cell, blocks)
         salt = np.arange(len(who)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         n = len(who)
-        return [np.full(n, index, np.int32), cells.clusters[cell], salt.astype(np.int32), np.ones(n, np.int32), ids[who], _lists(x[who])]
+        return [np.full(n, index, np.int32), cells.clusters[cell], salt.astype(np.int32), np.ones(n, np.int32), ids[who], lists(x[who])]
 
     return visit
 
