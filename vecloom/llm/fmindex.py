@@ -178,23 +178,25 @@ class Items:
 
 
 def _passage(hit: np.ndarray) -> np.ndarray:
-    """Whether a row of word-by-word matches has a passage; longer ones always hold one of under two PASSAGEs."""
+    """Whether a row of word-by-word matches has a passage: it begins and ends with a match."""
     good = np.zeros(len(hit), bool)
     total = np.concatenate([np.zeros((len(hit), 1), np.int32), np.cumsum(~hit, axis=1, dtype=np.int32)], axis=1)
-    for n in range(PASSAGE, min(2 * PASSAGE, hit.shape[1] + 1)):
-        good |= ((total[:, n:] - total[:, :-n]) * ALTERED <= n).any(1)
+    for n in range(PASSAGE, min(4 * PASSAGE, hit.shape[1]) + 1):
+        few = (total[:, n:] - total[:, :-n]) * ALTERED <= n
+        good |= (few & hit[:, : hit.shape[1] - n + 1] & hit[:, n - 1 :]).any(1)
     return good
 
 
 def _banded(item: np.ndarray, doc: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The same with words missing or extra.  ``item`` (m x L), ``doc`` (m x L + 2 band) start on the same diagonal.
 
-    best[e] holds, per row and shift, the longest stretch that ends here with ``e`` words altered.
+    best[e] holds, per row and shift, the longest stretch that begins with a match and ends here with ``e`` words altered.
     """
     m, size = item.shape
-    shifts, worst = 2 * _BAND + 1, (2 * PASSAGE - 1) // ALTERED
+    shifts, worst = 2 * _BAND + 1, 4 * PASSAGE // ALTERED - 1
     best = np.zeros((worst + 1, m, shifts), np.int16)
     none = np.int16(-1000)
+    best[1:] = none
     good = np.zeros(m, bool)
     lead = np.full((m, 1), none, np.int16)
     for a in range(size):
@@ -203,14 +205,13 @@ def _banded(item: np.ndarray, doc: np.ndarray, length: np.ndarray) -> np.ndarray
         for e in range(worst + 1):
             grown = np.where(same, best[e] + 1, none if e else np.int16(0))
             if e:
-                changed = best[e - 1] + 1
-                dropped = np.concatenate([best[e - 1][:, 1:], lead], axis=1) + 1
-                grown = np.maximum(grown, np.maximum(changed, dropped))
-                added = np.concatenate([lead, now[e - 1][:, :-1]], axis=1)
-                grown = np.maximum(grown, added)
+                begun = np.where(best[e - 1] > 0, best[e - 1], none)
+                dropped = np.concatenate([begun[:, 1:], lead], axis=1)
+                grown = np.maximum(grown, np.maximum(begun, dropped) + 1)
+                added = np.where(now[e - 1] > 0, now[e - 1], none)
+                grown = np.maximum(grown, np.concatenate([lead, added[:, :-1]], axis=1))
             now[e] = grown
-            enough = max(PASSAGE, e * ALTERED)
-            good |= (same & (grown >= enough)).any(1)
+            good |= (same & (grown >= max(PASSAGE, e * ALTERED))).any(1)
         best = now
     return good
 
