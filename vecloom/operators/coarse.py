@@ -14,7 +14,7 @@ from vecloom.functions.vecmath import usable
 from vecloom.sources.tables import last_checkpoints, small_enough
 
 #: Above this many bytes the centroids are no longer shipped to every worker but joined by index.
-SHIP_LIMIT = 64 * 2**20
+SHIP_LIMIT = 16 * 2**20
 
 
 @dataclass
