@@ -101,7 +101,7 @@ def test_windows_are_slices_of_sorted_lists(spark, world):
 
 
 def test_cells_shipped_and_met_agree(spark, world):
-    near = lambda limit: sorted(map(tuple, coarse.over_cells(world["vectors"], world["cents"], D, visit, "index_id int, id bigint, cluster int", 4, limit).collect()))
+    near = lambda limit: sorted(map(tuple, coarse.over_cells(world["vectors"], coarse.prepare(world["cents"], D, limit), D, visit, "index_id int, id bigint, cluster int", 4).collect()))
 
     def visit(cells, index, ids, x):
         return [np.full(len(ids), index, np.int32), ids, cells.clusters[cells.distances(x.astype(float)).argmin(1)]]

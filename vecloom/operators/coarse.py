@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.functions.vecmath import usable
-from vecloom.sources.tables import last_checkpoints, small_enough
+from vecloom.sources.tables import last_checkpoints
 
 #: Above this many bytes the centroids are no longer shipped to every worker but joined by index.
 SHIP_LIMIT = 16 * 2**20
@@ -64,14 +64,33 @@ def matrix(column: pa.Array, d: int) -> np.ndarray:
     return flat.reshape(len(column), d)
 
 
-def over_cells(rows: DataFrame, centroids: DataFrame, d: int, visit, schema: str, salts: int = 64, ship_limit: int = SHIP_LIMIT) -> DataFrame:
+@dataclass
+class Prepared:
+    """Centroid rows, and what the workers get of them: all cells by index, or None if they are too many."""
+
+    rows: DataFrame
+    shipped: object | None
+
+
+def prepare(centroids: DataFrame, d: int, ship_limit: int | None = None) -> Prepared:
+    """Ship the centroids to the workers if all of them fit ``ship_limit`` bytes (SHIP_LIMIT unless given).
+
+    One job that reads no more rows than the limit allows, and one.
+    """
+    most = (SHIP_LIMIT if ship_limit is None else ship_limit) // (4 * d + 24)
+    rows = centroids.limit(most + 1).collect()
+    return Prepared(centroids, centroids.sparkSession.sparkContext.broadcast(gather(rows)) if len(rows) <= most else None)
+
+
+def over_cells(rows: DataFrame, centroids: DataFrame | Prepared, d: int, visit, schema: str, salts: int = 64) -> DataFrame:
     """Run ``visit(cells, index_id, ids, vectors) -> list of columns`` over ``rows`` (index_id, id, vec), by index.
 
-    ``vec`` must be usable.  If all centroids fit ``ship_limit`` bytes they go to the workers and ``rows``
-    stay where they are.  Beyond, rows meet the centroids of their index in a shuffle by (index, salt):
-    each index is cut into ``salts`` parts, so a large index doesn't fill one task, and a part holds the
-    at most 128 centroids of one index next to its rows.
+    ``vec`` must be usable.  If the centroids were shipped, ``rows`` stay where they are.  Else rows meet the
+    centroids of their index in a shuffle by (index, salt): each index is cut into ``salts`` parts, so a large
+    index doesn't fill one task, and a part holds the at most 128 centroids of one index next to its rows.
     """
+    known = centroids if isinstance(centroids, Prepared) else prepare(centroids, d)
+    centroids, shipped = known.rows, known.shipped
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
     target = pa.schema([(n, {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "array<float>": pa.list_(pa.float32()), "array<double>": pa.list_(pa.float64())}[c.strip().split(" ", 1)[1]]) for n, c in zip(names, schema.split(","))])
 
@@ -80,8 +99,7 @@ def over_cells(rows: DataFrame, centroids: DataFrame, d: int, visit, schema: str
         arrays = [c if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(columns, target)]
         return pa.RecordBatch.from_arrays(arrays, schema=target)
 
-    if small_enough(centroids, 4 * d + 24, ship_limit):
-        shipped = rows.sparkSession.sparkContext.broadcast(gather(centroids.collect()))
+    if shipped is not None:
 
         def run(batches):
             for b in batches:

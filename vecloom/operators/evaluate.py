@@ -51,8 +51,7 @@ def knee(front: DataFrame) -> DataFrame:
 
 def suggestions(sweep: DataFrame, targets: tuple[float, ...] = (0.8, 0.9, 0.95, 0.99, 1.0)) -> DataFrame:
     """(target, met, ...): the cheapest configuration reaching each recall, else the one of greatest recall."""
-    wanted = sweep.sparkSession.createDataFrame([(t,) for t in targets], "target double")
-    both = sweep.crossJoin(F.broadcast(wanted)).withColumn("met", F.col("recall") >= F.col("target"))  # five rows against one per configuration
+    both = sweep.withColumn("target", F.explode(F.array(*map(F.lit, targets)))).withColumn("met", F.col("recall") >= F.col("target"))
     price = F.when(F.col("met"), F.col("cands")).otherwise(F.lit(0))
     lack = F.when(F.col("met"), F.lit(0.0)).otherwise(-F.col("recall"))
     order = W.partitionBy("target").orderBy(F.desc("met"), price, lack, "cands", *[c for c in sweep.columns if c not in ("cands", "recall")])

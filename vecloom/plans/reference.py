@@ -451,9 +451,9 @@ def sweep(spark, base):
     pairs = near.join(homes(spark, base).select("index_id", "cluster", "id"), ["index_id", "cluster"])
     hits = pairs.join(_truth(spark, base).select("qid", "id", F.lit(1).alias("hit")), ["qid", "id"], "left")
     per = hits.groupBy("cluster_rank").agg(F.count("*").alias("n"), F.count("hit").alias("hit"))
-    total = asked(spark, base).agg(F.count("*").alias("q"))
-    steps = per.crossJoin(total).withColumn("cp", F.explode(F.sequence(F.col("cluster_rank"), F.lit(4))))  # one row
-    return steps.groupBy("cp").agg((F.sum("n") / F.max("q")).alias("cands"), (F.sum("hit") / (F.max("q") * 10)).alias("recall"))
+    total = max(1, asked(spark, base).count())
+    steps = per.withColumn("cp", F.explode(F.sequence(F.col("cluster_rank"), F.lit(4))))
+    return steps.groupBy("cp").agg((F.sum("n") / F.lit(total)).alias("cands"), (F.sum("hit") / F.lit(total * 10)).alias("recall"))
 
 
 @register(_sweep_sql("SELECT cp, cands, recall FROM (SELECT *, max(recall) OVER (ORDER BY cands, recall DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM sweep) WHERE b IS NULL OR recall > b"))
@@ -554,8 +554,8 @@ def batch_add_ids(spark, base):
     """Consecutive ids after the greatest stored one for a batch of inserts, in order of seq."""
     rows = fold.changes(read(spark, base, "mutations")).where((F.col("kind") == "insert") & V.usable("vector", D)).select("index_id", "seq", F.lit(1).alias("one"), F.lit(0).alias("all"))
     placed = running(rows, ["all"], "seq", [], "one", "place")
-    top = stored(spark, base).agg(F.max("id").alias("top"))
-    return placed.crossJoin(top).select("index_id", "seq", (F.col("top") + F.col("place") + 1).alias("new_id"))  # one row
+    top = stored(spark, base).agg(F.coalesce(F.max("id"), F.lit(-1))).first()[0]
+    return placed.select("index_id", "seq", (F.lit(top) + F.col("place") + 1).alias("new_id"))
 
 
 @register(query("SELECT DISTINCT global_id FROM changes WHERE kind = 'delete' AND global_id NOT IN (SELECT global_id FROM vectors WHERE global_id IS NOT NULL) AND global_id NOT IN (SELECT global_id FROM effective WHERE kind <> 'delete')", "changes", "effective"))
