@@ -56,9 +56,11 @@ def test_bounds_hold():
     assert compared < 0.8 * true.size
 
 
-@pytest.mark.parametrize("limit", [1 << 26, 0])
-def test_search_matches_brute_force(spark, monkeypatch, limit):
-    monkeypatch.setattr(coarse.over_cells, "__defaults__", (8, limit))
+@pytest.mark.parametrize(("limit", "block", "asking"), [(1 << 24, 8_192, 1 << 18), (0, 8_192, 1 << 18), (1 << 24, 16, 9)])
+def test_search_matches_brute_force(spark, monkeypatch, limit, block, asking):
+    monkeypatch.setattr(coarse, "SHIP_LIMIT", limit)
+    monkeypatch.setattr(rabitq, "BLOCK", block)
+    monkeypatch.setattr(rabitq, "ASKING", asking)
     vectors, checkpoints, clusters, rows, _ = world(spark)
     known = usable(rows)
     asks = [(q, q % 2, [float(a) for a in np.round(known[(q, q % 2)] * 64 + 3) / 64]) for q in range(0, 200, 5)] + [(900, 0, None), (901, 0, [1.0]), (902, 7, rows[0][2]), (903, 55, rows[0][2]), (904, None, rows[0][2])]

@@ -58,10 +58,10 @@ def schedule(counts: DataFrame, targets: DataFrame, tilt: float = TILT) -> DataF
     ``size`` is the plan's wanted size in tokens, ``demand`` the source's part, ``supply`` what its documents hold once,
     ``budget`` what it can give.  Repeated target rows count once.  A source without documents has supply 0.
     """
-    total = F.coalesce(F.sum("tokens"), F.lit(0)).alias("total")
+    total = counts.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     held = counts.where("source is not null").groupBy("source").agg(F.sum("tokens").alias("supply"), F.avg("tokens").alias("length"))
     wanted = targets.select("plan", source_name(F.col("source")).alias("source"), "target_share", "corpus_multiple", "max_repeats").where("plan is not null and source is not null").distinct()
-    rows = wanted.join(held, "source", "left").crossJoin(counts.agg(total))  # one row against one row per target
+    rows = wanted.join(held, "source", "left").withColumn("total", F.lit(total))
     by = W.partitionBy("plan")
     share, length = F.coalesce("target_share", F.lit(0.0)), F.coalesce("length", F.lit(0.0))
     mean = F.sum(share * length).over(by) / F.greatest(F.sum(share).over(by), F.lit(1e-12))

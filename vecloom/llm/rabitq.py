@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vecloom.functions.vecmath import usable
-from vecloom.operators.coarse import Cells, centroid_rows, lists, matrix, over_cells, usable_vectors
+from vecloom.operators.coarse import Cells, centroid_rows, lists, matrix, over_cells, prepare, usable_vectors
 
 #: Bits of a code, a multiple of 64 and at least the dimension; shorter vectors are padded with zeros before rotation.
 BITS = 128
@@ -29,6 +29,8 @@ BITS = 128
 EPSILON = 3.0
 #: Vectors a block is meant to hold; a cell stated to be larger is cut into several blocks by a hash of the id.
 BLOCK = 8_192
+#: Queries a block is meant to answer; a cell stated to be larger has copies of its blocks, each for a part of the queries.
+ASKING = 262_144
 #: Blocks of the single cell of an index that has no complete checkpoint.
 WHOLE_BLOCKS = 16
 #: Cells a query visits at least; it goes on to further cells until those before state ``SEEN`` vectors.
@@ -146,11 +148,23 @@ def _blocks(cells: Cells) -> np.ndarray:
     return np.maximum(1, -(-cells.counts // BLOCK))
 
 
+def _parts(cells: Cells) -> np.ndarray:
+    """Copies of each block, by the sizes stated: where many vectors are, many queries go."""
+    return np.maximum(1, -(-cells.counts // ASKING))
+
+
+def _mixed(ids: np.ndarray, shift: int) -> np.ndarray:
+    return (ids * np.int64(-7046029254386353131)) >> np.int64(shift)
+
+
 def _place(cells: Cells, index: int, ids: np.ndarray, x: np.ndarray) -> list:
     home = cells.distances(x.astype(np.float64)).argmin(1)
-    salt = (ids * np.int64(-7046029254386353131) >> np.int64(33)) % _blocks(cells)[home]
-    n = len(ids)
-    return [np.full(n, index, np.int32), cells.clusters[home], salt.astype(np.int32), np.zeros(n, np.int32), ids, lists(x)]
+    parts = _parts(cells)[home]
+    who = np.repeat(np.arange(len(ids)), parts)
+    part = np.arange(len(who)) - np.repeat(np.cumsum(parts) - parts, parts)
+    salt = (_mixed(ids, 33) % _blocks(cells)[home])[who] * parts[who] + part
+    n = len(who)
+    return [np.full(n, index, np.int32), cells.clusters[home[who]], salt.astype(np.int32), np.zeros(n, np.int32), ids[who], lists(x[who])]
 
 
 def _route(probes: int):
@@ -163,6 +177,8 @@ def _route(probes: int):
         blocks = _blocks(cells)[cell]
         who, cell = np.repeat(who, blocks), np.repeat(cell, blocks)
         salt = np.arange(len(who)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        parts = _parts(cells)[cell]
+        salt = salt * parts + _mixed(ids[who], 29) % parts
         n = len(who)
         return [np.full(n, index, np.int32), cells.clusters[cell], salt.astype(np.int32), np.ones(n, np.int32), ids[who], lists(x[who])]
 
@@ -176,7 +192,7 @@ def most_similar(vectors: DataFrame, queries: DataFrame, checkpoints: DataFrame,
     once.  Fewer than k rows come out only if the probed cells hold fewer; an index without vectors
     gives none.  Null, short, long and NaN vectors are never found; all-zero vectors are ordinary.
     """
-    centroids = centroid_rows(checkpoints, clusters, d)
+    centroids = prepare(centroid_rows(checkpoints, clusters, d), d)
     placed = over_cells(usable_vectors(vectors, d), centroids, d, _place, CODED)
     routed = over_cells(queries, centroids, d, _route(probes), CODED)
     met = placed.unionByName(routed).repartition("index_id", "cluster", "salt").sortWithinPartitions("index_id", "cluster", "salt", "side")
