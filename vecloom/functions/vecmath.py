@@ -49,8 +49,14 @@ def sq_l2(a: Column | str, b: Column | str) -> Column:
     return _total(F.zip_with(doubles(a), doubles(b), lambda x, y: (x - y) * (x - y)))
 
 
+#: Beyond this length unrolled expressions no longer pay.
+UNROLLED = 128
+
+
 def sq_l2_at(a: Column | str, b: Column | str, d: int) -> Column:
     """The same for a known length, unrolled in order: one expression inside whole-stage code; null for shorter arrays."""
+    if d > UNROLLED:
+        return sq_l2(a, b)
     a, b = _col(a), _col(b)
     total = F.lit(0.0)
     for i in range(d):
@@ -60,6 +66,8 @@ def sq_l2_at(a: Column | str, b: Column | str, d: int) -> Column:
 
 
 def dot_at(a: Column | str, b: Column | str, d: int) -> Column:
+    if d > UNROLLED:
+        return dot(a, b)
     a, b = _col(a), _col(b)
     total = F.lit(0.0)
     for i in range(d):
