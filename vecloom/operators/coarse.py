@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.functions.vecmath import usable
-from vecloom.sources.tables import last_checkpoints
+from vecloom.sources.tables import last_checkpoints, ship_code
 
 #: Above this many bytes the centroids are no longer shipped to every worker but joined by index.
 SHIP_LIMIT = 16 * 2**20
@@ -89,6 +89,7 @@ def over_cells(rows: DataFrame, centroids: DataFrame | Prepared, d: int, visit,
     centroids of their index in a shuffle by (index, salt): each index is cut into ``salts`` parts, so a large
     index doesn't fill one task, and a part holds the at most 128 centroids of one index next to its rows.
     """
+    ship_code(rows.sparkSession)
     known = centroids if isinstance(centroids, Prepared) else prepare(centroids, d)
     centroids, shipped = known.rows, known.shipped
     names = [c.strip().split(" ")[0] for c in schema.split(",")]

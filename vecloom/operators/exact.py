@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from vecloom.functions.vecmath import from_sq, metric_name
 from vecloom.operators.coarse import in_order, matrix
-from vecloom.sources.tables import slices
+from vecloom.sources.tables import ship_code, slices
 
 _PAIRS = 4_000_000
 
@@ -57,6 +57,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str = "
     Only rows of the same ``grp`` are compared.  Ranked by (distance, id); fewer than k come out if the group has fewer.  Rows must
     be distinct and usable; cosine normalises both sides, a zero vector stays zero.
     """
+    ship_code(vectors.sparkSession)
     kind, n = metric_name(metric), blocks or slices(vectors.sparkSession)
     side = lambda df, s: df.select(F.col("grp").cast("bigint").alias("grp"), "salt", F.lit(s).alias("side"), F.col("id").cast("bigint").alias("id"), F.col("vec").cast("array<float>").alias("vec"))
     rows = side(vectors.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")), 0)

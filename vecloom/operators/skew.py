@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vecloom.sources.tables import slices
+from vecloom.sources.tables import ship_code, slices
 
 #: Keys and the secondary order are 64-bit integers; a missing secondary value sorts first and counts as none.
 STATE = "part int, key1 bigint, key2 bigint, n_rows bigint, n_distinct bigint, first bigint, last bigint, widest bigint"
@@ -77,6 +77,7 @@ def key_profile(rows: DataFrame, key1: str, key2: str, second: str, partitions:
     the non-null values of ``second``; a key that has none gets 0, null, null and 0.  Repeated rows count
     in ``n_rows`` only.  Rows with a null key are left out.  Columns keep the names given.
     """
+    ship_code(rows.sparkSession)
     n = partitions or slices(rows.sparkSession)
     lean = rows.where(F.col(key1).isNotNull() & F.col(key2).isNotNull()).select(F.col(key1).cast("bigint").alias("key1"), F.col(key2).cast("bigint").alias("key2"), F.col(second).cast("bigint").alias("second"))
     # the order ends in a hash, so that not even a single repeated (key, second) fills a partition by itself

@@ -82,9 +82,9 @@ def embedded(spark: SparkSession, base: str) -> DataFrame:
 # scans and vector arithmetic
 
 
-@register(f"""SELECT index_id, count(*) AS n_rows, count_if(vector IS NULL) AS n_null, count_if(vector IS NOT NULL AND len(vector) <> 32) AS n_length,
-  count_if(vector IS NOT NULL AND len(vector) = 32 AND NOT {usable("vector")}) AS n_nan, count_if({usable("vector")}) AS n_usable,
-  count_if({usable("vector")} AND len(list_filter(vector, lambda x: x <> 0)) = 0) AS n_zero FROM vectors GROUP BY index_id""")
+@register(f"""SELECT index_id, count(*) AS n_rows, count_if(vector IS NULL)::BIGINT AS n_null, count_if(vector IS NOT NULL AND len(vector) <> 32)::BIGINT AS n_length,
+  count_if(vector IS NOT NULL AND len(vector) = 32 AND NOT {usable("vector")})::BIGINT AS n_nan, count_if({usable("vector")})::BIGINT AS n_usable,
+  count_if({usable("vector")} AND len(list_filter(vector, lambda x: x <> 0)) = 0)::BIGINT AS n_zero FROM vectors GROUP BY index_id""")
 def scan_validate_vectors(spark, base):
     good, long = V.usable("vector", D), F.coalesce(F.size("vector") != D, F.lit(False))
     there = F.col("vector").isNotNull()

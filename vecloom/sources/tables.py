@@ -3,12 +3,28 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Give the workers this package, once per context: they need not have it on their path."""
+    context, package = spark.sparkContext, Path(__file__).resolve().parent.parent
+    if getattr(context, "_vecloom_shipped", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="vecloom-code-")) / "vecloom.zip"  # read by the driver, which serves it to the executors
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._vecloom_shipped = True
+
+
 def read(spark: SparkSession, base: str, name: str) -> DataFrame:
+    ship_code(spark)
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 

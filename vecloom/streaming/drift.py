@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vecloom.sources.tables import ship_code
+
 #: Step of the rule, and the angle in degrees beyond which a cluster has drifted (fixed values of the index).
 BETA, ANGLE = 0.01, 15.0
 STATE = "index_id int, cluster int, n bigint, u array<double>, angle double, drifted boolean"
@@ -58,6 +60,7 @@ def drift_states(displaced: DataFrame, axes: list[tuple[int, list[float]]], limi
     Applied in order of ``seq`` in chunks of ``chunk`` rows.  Clusters stream through their partition sorted, so a large one is
     never held in memory.
     """
+    ship_code(displaced.sparkSession)
     a = np.array([v for _, v in axes])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -91,6 +94,7 @@ def drift_states(displaced: DataFrame, axes: list[tuple[int, list[float]]], limi
 
 def drift_stream(displaced: DataFrame, axes: list[tuple[int, list[float]]], limit: float = ANGLE) -> DataFrame:
     """The same over a stream: one row per cluster and micro-batch, the basis kept as keyed state."""
+    ship_code(displaced.sparkSession)
     a = np.array([v for _, v in axes])
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -112,6 +116,7 @@ def profile(centred: DataFrame, axes: list[tuple[int, list[float]]], d: int, lea
     ``centred`` (index_id, cluster, v).  Second moments are summed per partition of a cluster and then merged, d x d numbers each, so a
     large cluster is spread over all tasks.  Clusters of fewer than ``least`` rows are left out.
     """
+    ship_code(centred.sparkSession)
     a = np.array([v for _, v in axes])
 
     def moments(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
