@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vecloom.sources.tables import durable, slices, small_enough
+from vecloom.sources.tables import durable, ship_code, slices, small_enough
 
 #: A rank file of a public byte-level vocabulary, and the pattern that splits text before its merges (fixed value).
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -48,6 +48,7 @@ def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
             sizes = [len(encode(t.as_py())) if t.is_valid else 0 for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64())], names=["doc_id", "source", "tokens"])
 
+    ship_code(documents.sparkSession)
     lean = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), source_name(F.col("source")).alias("source"), "text")
     return lean.mapInArrow(count, "doc_id bigint, source string, tokens bigint")
 

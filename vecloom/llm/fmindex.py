@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.llm.text import words
+from vecloom.sources.tables import ship_code
 
 PASSAGE, ALTERED, SEED = 12, 8, 5
 #: Words of a shard, and the spacing of kept suffix positions.
@@ -306,6 +307,7 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     documents are searched, comments and switched-off blocks too.  The items go to every task in
     blocks of at most ``ITEMS``; each block is one pass over the corpus.
     """
+    ship_code(documents.sparkSession)
     lean = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text").distinct()
     total = lean.count()
     passes = max(1, -(-total // ITEMS))
