@@ -121,13 +121,14 @@ def training_order(placed: DataFrame) -> DataFrame:
 def report(placed: DataFrame, plan_rows: DataFrame) -> DataFrame:
     """(plan, source, target_share, actual_share, demand, supply, placed_tokens, copies, short) per target row.
 
-    ``short``: even with every repeat the source has fewer tokens than demanded.
+    ``short``: even with every repeat allowed, what could be placed of the source falls short of its demand.  (Copies are placed
+    up to the demand, the last one reaching or passing it, so this is so just if all copies together have fewer tokens.)
     """
     got = placed.groupBy("plan", "source").agg(F.sum("tokens").alias("placed_tokens"), F.count("*").alias("copies"))
     rows = plan_rows.join(got, ["plan", "source"], "left").withColumn("placed_tokens", F.coalesce("placed_tokens", F.lit(0)))
     everything = F.sum("placed_tokens").over(W.partitionBy("plan"))
     actual = F.when(everything > 0, F.col("placed_tokens") / everything).otherwise(0.0)
-    short = F.col("supply") * F.col("max_repeats") < F.col("demand")
+    short = F.col("placed_tokens") < F.col("demand")
     return rows.select("plan", "source", "target_share", actual.alias("actual_share"), "demand", "supply", "placed_tokens", F.coalesce("copies", F.lit(0)).alias("copies"), short.alias("short"))
 
 
