@@ -378,6 +378,59 @@ def sketch_refine_search(spark, base):
     return search.refined(pairs, asks, rows, 10).withColumnRenamed("id", "global_id")
 
 
+# the same searches at the index's own defaults; the ones above are their cheaper setting, 4 clusters and window 50
+
+#: Clusters and fans visited, windows of a search and of candidates (fixed values of the index).
+CLUSTERS, FANS, WINDOW, CANDIDATE_WINDOW = 10, 2, 200, 50
+
+
+def _default_visits(spark, base):
+    return visits(spark, base, CLUSTERS, FANS)
+
+
+def _default_pairs(spark, base, w):
+    return cones.cone_candidates(_default_visits(spark, base), durable(cone_rows(spark, base)), w)
+
+
+@register()
+def cone_search_candidates(spark, base):
+    return _default_pairs(spark, base, CANDIDATE_WINDOW).select("qid", F.col("id").alias("global_id"))
+
+
+@register()
+def cone_search_cost(spark, base):
+    return evaluate.mean_candidates(_default_pairs(spark, base, CANDIDATE_WINDOW))
+
+
+@register()
+def cone_search_stop_level(spark, base):
+    stop, _ = search.stop_levels(_default_visits(spark, base), durable(cone_rows(spark, base)), asks_q(spark, base), bodies(spark, base), 10, WINDOW)
+    return stop
+
+
+def _cone_found(spark, base):
+    return search.adaptive(_default_visits(spark, base), durable(cone_rows(spark, base)), asks_q(spark, base), bodies(spark, base), 10, WINDOW)
+
+
+@register()
+def cone_search(spark, base):
+    return _cone_found(spark, base).withColumnRenamed("id", "global_id")
+
+
+@register()
+def cone_search_recall(spark, base):
+    return evaluate.recall(_cone_found(spark, base), _truth(spark, base), 10)
+
+
+@register()
+def cone_search_refined(spark, base):
+    """Candidates of the search's window, refined through the sketch's lower bound."""
+    own = _orthonormal(spark, base)
+    asks = projection.projections(asks_q(spark, base), own, "q", D, "q_sketch")
+    rows = projection.projections(bodies(spark, base), own, "vec", D, "sketch")
+    return search.refined(_default_pairs(spark, base, WINDOW), asks, rows, 10).withColumnRenamed("id", "global_id")
+
+
 @register(query("SELECT count(*) AS pairs, 0::BIGINT AS violations FROM routed r JOIN home h USING (index_id, cluster) WHERE r.cluster_rank = 1", "routed", "home"))
 def sketch_lower_bound_check(spark, base):
     """On orthonormal axes the sketch distance never exceeds the true one."""
