@@ -3,8 +3,10 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from vecloom.operators import projection
 from vecloom.plans import reference
 
 DATA = "/root/testdata/sf0.001"
@@ -23,3 +25,16 @@ def test_cone_searches_at_the_defaults(spark):
     assert refined == found  # no window of 200 is left before a cone is covered
     ranks = [r[0] for r in reference._default_visits(spark, DATA).select("cluster_rank").distinct().collect()]
     assert sorted(ranks) == list(range(1, 11))
+
+
+def test_projection_windows_grow_with_the_index(spark):
+    rows = [(g, 0, float(i), 1, i, i) for g, n in ((1, 40), (2, 400)) for i in range(n)] + [(g, 0, 20.5, 0, 7, 20) for g in (1, 2)]
+    lists = projection.scaled(spark.createDataFrame(rows, "index_id int, axis int, p double, is_point int, who bigint, pos bigint"), ["index_id"], 0.02, 3)
+    assert {(r["index_id"], r["w"]) for r in lists.select("index_id", "w").distinct().collect()} == {(1, 3), (2, 8)}
+    ids = [sorted(r["id"] for r in projection.candidates(lists.where(F.col("index_id") == g), ["index_id", "w"], "w").collect()) for g in (1, 2)]
+    assert ids == [list(range(17, 23)), list(range(12, 28))]
+
+
+def test_projection_index_reaches_its_neighbours(spark):
+    true = pairs(spark, "exact_knn_l2")
+    assert len(pairs(spark, "projection_index_search") & true) >= 0.9 * len(true)

@@ -45,17 +45,24 @@ def sorted_lists(points: DataFrame, asks: DataFrame, by: list[str]) -> DataFrame
     return running(p.unionByName(q), [*by, "axis"], "p", ["is_point", "who"], "is_point", "pos")
 
 
-def window_members(lists: DataFrame, by: list[str], w: int) -> DataFrame:
+def window_members(lists: DataFrame, by: list[str], w: int | str) -> DataFrame:
     """(qid, id, axis): points at places [pos - w, pos + w) around each query's insertion point.
 
-    Joined on blocks of ``w`` places, of which a window meets at most three.
+    ``w`` may name a column of ``by`` that holds the window of a group.  Joined on blocks of ``w`` places, of which a window meets at most three.
     """
+    w = F.col(w) if isinstance(w, str) else F.lit(w)
     q = lists.where("is_point = 0").select(*by, "axis", F.col("who").alias("qid"), F.col("pos").alias("at"))
     q = q.withColumn("block", F.explode(F.sequence(F.floor((F.greatest(F.col("at") - w, F.lit(0))) / w), F.floor((F.col("at") + w - 1) / w))))
     p = lists.where("is_point = 1").select(*by, "axis", F.col("who").alias("id"), "pos", F.floor(F.col("pos") / w).alias("block"))
     return q.join(p, [*by, "axis", "block"]).where((F.col("pos") >= F.col("at") - w) & (F.col("pos") < F.col("at") + w)).select("qid", "id", "axis")
 
 
-def candidates(lists: DataFrame, by: list[str], w: int) -> DataFrame:
+def scaled(lists: DataFrame, by: list[str], share: float, least: int) -> DataFrame:
+    """``lists`` with the window ``w`` of each group: ``share`` of its points, at least ``least``."""
+    n = lists.where("axis = 0 and is_point = 1").groupBy(*by).agg(F.greatest(F.lit(least), F.ceil(F.count("*") * share)).cast("int").alias("w"))
+    return lists.join(n, by)
+
+
+def candidates(lists: DataFrame, by: list[str], w: int | str) -> DataFrame:
     """(qid, id): the union of the windows over all axes."""
     return window_members(lists, by, w).select("qid", "id").distinct()

@@ -239,6 +239,44 @@ def projection_search(spark, base):
     return _projection_found(spark, base).withColumnRenamed("id", "global_id")
 
 
+# the projection index at its own number of directions; the queries above take the few of the table axes
+
+#: Random directions (fixed value of the index), and the window: this share of an index, at least so many ranks.
+DIRECTIONS, SHARE, LEAST_WINDOW = 16, 0.02, 100
+
+
+def _direction_pairs(spark, base):
+    own = projection.axis_table(spark, projection.random_axes(DIRECTIONS, D))
+    asks = projection.projections(asked(spark, base).withColumnRenamed("id", "qid"), own, "vec", D)
+    lists = durable(projection.sorted_lists(projection.projections(stored(spark, base), own, "vec", D), asks, ["index_id"]))
+    return projection.candidates(durable(projection.scaled(lists, ["index_id"], SHARE, LEAST_WINDOW)), ["index_id", "w"], "w")
+
+
+def _directions_found(spark, base):
+    return search.best(search.with_distance(_direction_pairs(spark, base), asks_q(spark, base), bodies(spark, base)), 10)
+
+
+@register()
+def projection_index_candidates(spark, base):
+    return _direction_pairs(spark, base).select("qid", F.col("id").alias("global_id"))
+
+
+@register()
+def projection_index_search(spark, base):
+    """A window that grows with the index, as a fixed one covers less and less of it."""
+    return _directions_found(spark, base).withColumnRenamed("id", "global_id")
+
+
+@register()
+def projection_index_recall(spark, base):
+    return evaluate.recall(_directions_found(spark, base), _truth(spark, base), 10)
+
+
+@register()
+def projection_index_ratio(spark, base):
+    return evaluate.distance_ratio(_directions_found(spark, base), _truth(spark, base))
+
+
 # clusters
 
 
