@@ -86,6 +86,22 @@ def test_spans_merge(spark):
     assert sorted(map(tuple, fmindex.removal_spans(found).collect())) == [(1, 5, 40, 2), (1, 50, 70, 1), (2, 0, 13, 1)]
 
 
+def test_spans_keep_to_the_passage():
+    vocabulary = ITEM[:-1].lower().split()
+    items = fmindex.Items.of([(1, ITEM)])
+    n, other = items.vocabulary, [-1] * 30
+    at = lambda words: [n[w] for w in words]
+    w = vocabulary
+    # the item's other words stand near their places outside the passage, by chance
+    chance = other[:25] + at(w[:12]) + [-1] * 7 + at(w[19:]) + other
+    extra = other + at(w[:6]) + [-1] + at(w[6:14]) + other
+    beyond = other + at(w[:13]) + [-1] + at(w[13:16]) + other
+    rows = fmindex.search_shard([1, 2, 3], [np.array(x, np.int64) for x in (chance, extra, beyond)], items)
+    span = {doc: (min(r[2] for r in rows if r[0] == doc), max(r[3] for r in rows if r[0] == doc)) for doc in (1, 2, 3)}
+    assert span == {1: (25, 36), 2: (30, 44), 3: (30, 46)}
+    assert {r[4] for r in rows if r[0] == 1} == {12}
+
+
 def test_nothing_to_search(spark):
     assert find(spark, [FILL], items=((1, None),)) == []
     assert find(spark, [None]) == []

@@ -179,46 +179,69 @@ class Items:
 
 
 def _passage(hit: np.ndarray) -> np.ndarray:
-    """Whether a row of word-by-word matches has a passage: it begins and ends with a match."""
-    good = np.zeros(len(hit), bool)
+    """The words of each row of word-by-word matches that lie in a passage, which begins and ends with a match."""
+    edges = np.zeros((len(hit), hit.shape[1] + 1), np.int32)
     total = np.concatenate([np.zeros((len(hit), 1), np.int32), np.cumsum(~hit, axis=1, dtype=np.int32)], axis=1)
     for n in range(PASSAGE, min(4 * PASSAGE, hit.shape[1]) + 1):
         few = (total[:, n:] - total[:, :-n]) * ALTERED <= n
-        good |= (few & hit[:, : hit.shape[1] - n + 1] & hit[:, n - 1 :]).any(1)
-    return good
+        whole = few & hit[:, : hit.shape[1] - n + 1] & hit[:, n - 1 :]
+        edges[:, : whole.shape[1]] += whole
+        edges[:, n:] -= whole
+    return np.cumsum(edges[:, :-1], axis=1) > 0
 
 
-def _banded(item: np.ndarray, doc: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """The same with words missing or extra.  ``item`` (m x L), ``doc`` (m x L + 2 band) start on the same diagonal.
+def _banded(item: np.ndarray, doc: np.ndarray, length: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """(row, first and last item word, first and last place in ``doc``) of passages with words missing or extra.
 
-    best[e] holds, per row and shift, the longest stretch that begins with a match and ends here with ``e`` words altered.
+    ``item`` (m x L), ``doc`` (m x L + 2 band) start on the same diagonal.  best[e] holds, per row and shift, the longest stretch
+    that begins with a match and ends here with ``e`` words altered, as 16 times its item words plus the shift it began at.
     """
     m, size = item.shape
     shifts, worst = 2 * _BAND + 1, 4 * PASSAGE // ALTERED - 1
-    best = np.zeros((worst + 1, m, shifts), np.int16)
-    none = np.int16(-1000)
+    best = np.zeros((worst + 1, m, shifts), np.int32)
+    none, one = np.int32(-(2**30)), np.int32(16)
     best[1:] = none
-    good = np.zeros(m, bool)
-    lead = np.full((m, 1), none, np.int16)
+    lead = np.full((m, 1), none, np.int32)
+    begin = one + np.arange(shifts, dtype=np.int32)
+    out = []
     for a in range(size):
         same = (item[:, a : a + 1] == doc[:, a : a + shifts]) & (a < length)[:, None]
         now = np.full_like(best, none)
+        longest, ending = np.zeros(m, np.int32), np.zeros(m, np.int64)
         for e in range(worst + 1):
-            grown = np.where(same, best[e] + 1, none if e else np.int16(0))
+            grown = np.where(same, best[e] + one if e else np.where(best[e] > 0, best[e] + one, begin), none if e else np.int32(0))
             if e:
                 begun = np.where(best[e - 1] > 0, best[e - 1], none)
                 dropped = np.concatenate([begun[:, 1:], lead], axis=1)
-                grown = np.maximum(grown, np.maximum(begun, dropped) + 1)
+                grown = np.maximum(grown, np.maximum(begun, dropped) + one)
                 added = np.where(now[e - 1] > 0, now[e - 1], none)
                 grown = np.maximum(grown, np.concatenate([lead, added[:, :-1]], axis=1))
             now[e] = grown
-            good |= (same & (grown >= max(PASSAGE, e * ALTERED))).any(1)
+            whole = np.where(same & (grown >> 4 >= max(PASSAGE, e * ALTERED)), grown, 0)
+            at = whole.argmax(1)
+            top = whole[np.arange(m), at]
+            ending, longest = np.where(top > longest, at, ending), np.maximum(top, longest)
+        for row in np.flatnonzero(longest):
+            first = a - int(longest[row] >> 4) + 1
+            out.append((int(row), first, a, first + int(longest[row] & 15), a + int(ending[row])))
         best = now
-    return good
+    return out
+
+
+def _joined(stretches: list[tuple[int, int, int, int]]) -> list[list[int]]:
+    """Stretches (first and last place, first and last item word) of one alignment, those that overlap as one."""
+    out: list[list[int]] = []
+    for lo, hi, a, z in sorted(stretches):
+        if out and lo <= out[-1][1]:
+            last = out[-1]
+            last[1], last[2], last[3] = max(last[1], hi), min(last[2], a), max(last[3], z)
+        else:
+            out.append([lo, hi, a, z])
+    return out
 
 
 def search_shard(docs: list[int], parts: list[np.ndarray], items: Items) -> list[tuple[int, int, int, int, int]]:
-    """(doc_id, item_id, first word, last word, words matched) of every passage region in the shard's documents."""
+    """(doc_id, item_id, first word, last word, words of the item met there) of every passage in the shard's documents."""
     lengths = np.array([len(p) for p in parts])
     ends = np.cumsum(lengths + 1)
     t = np.concatenate([np.r_[p, 0] for p in parts])
@@ -256,21 +279,26 @@ def search_shard(docs: list[int], parts: list[np.ndarray], items: Items) -> list
         around = np.where(inside, t[np.clip(pos, 0, len(t) - 1)], -2)
         goal = bank[i]
         hit = (goal == around[:, _BAND : _BAND + size]) & (goal >= 0)
-        good = _passage(hit)
+        inside = _passage(hit)
         # words of the item met on some diagonal of the band: too few, and no alignment reaches a passage
         near = hit.copy()
         for shift in range(2 * _BAND + 1):
             near |= (goal == around[:, shift : shift + size]) & (goal >= 0)
         sums = np.concatenate([np.zeros((len(near), 1), np.int32), np.cumsum(near, axis=1, dtype=np.int32)], axis=1)
         window = min(PASSAGE, size)
-        maybe = ~good & ((sums[:, window:] - sums[:, :-window]) >= PASSAGE - 2).any(1)
-        if maybe.any():
-            good[maybe] = _banded(goal[maybe], around[maybe], span[i[maybe]])
-        for k in np.flatnonzero(good):
-            met = np.flatnonzero(near[k])
-            begin = int(max(s[k] + met[0], first[k]) - first[k])
-            stop = int(min(s[k] + met[-1], end[k] - 1) - first[k])
-            found.append((docs[d[k]], int(items.ids[i[k]]), begin, stop, int(near[k].sum())))
+        stretches = defaultdict(list)
+        for k in np.flatnonzero(inside.any(1)):
+            turns = np.flatnonzero(np.diff(np.r_[False, inside[k], False]))
+            stretches[k] += [(x + _BAND, z - 1 + _BAND, x, z - 1) for x, z in zip(turns[::2], turns[1::2])]
+        # passages of one diagonal too: they may go on beyond a missing or extra word
+        maybe = np.flatnonzero(((sums[:, window:] - sums[:, :-window]) >= PASSAGE - 2).any(1))
+        if len(maybe):
+            for row, x, z, lo, hi in _banded(goal[maybe], around[maybe], span[i[maybe]]):
+                stretches[maybe[row]].append((lo, hi, x, z))
+        for k in sorted(stretches):
+            for lo, hi, x, z in _joined(stretches[k]):
+                begin = int(s[k] - _BAND + lo - first[k])
+                found.append((docs[d[k]], int(items.ids[i[k]]), begin, begin + int(hi - lo), int(near[k, x : z + 1].sum())))
     return found
 
 
@@ -301,7 +329,7 @@ def _shards(items: Items):
 
 
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, first_word, last_word, matched): regions of documents that hold a passage of an item.
+    """(doc_id, item_id, first_word, last_word, matched): passages of items in documents, a row for each stretch and diagonal.
 
     Null and empty texts, and texts shorter than a passage, hold none; items shorter than one cannot leak.  Whole
     documents are searched, comments and switched-off blocks too.  The items go to every task in
