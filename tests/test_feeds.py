@@ -121,3 +121,9 @@ def test_new_changes(spark):
     got = feed.new_changes(spark.createDataFrame(rows, FEED), spark.createDataFrame(checkpoints, CHECKPOINTS))
     assert sorted(r[0] for r in got.collect()) == [8, 12]
     assert feed.new_changes(spark.createDataFrame([], FEED), spark.createDataFrame([], CHECKPOINTS)).count() == 0
+
+
+def test_deliveries_without_an_index_are_new(spark):
+    rows = [change(1, "I", 1, 10, [1.0, 1.0], index=None), change(2, "I", 2, 20, [2.0, 2.0]), change(3, "I", 2, 20, [2.0, 2.0], index=None), change(4, "D", 3, 30, index=None), change(5, "D", 3, 30, index=None)]
+    taken = spark.createDataFrame([(1, 0, NS0 + 100 * 10**9, T0 + timedelta(seconds=100))], CHECKPOINTS)
+    assert sorted(r[0] for r in feed.new_changes(spark.createDataFrame(rows, FEED), taken).collect()) == [1, 4]

@@ -43,8 +43,11 @@ def gaps(feed: DataFrame, checkpoints: DataFrame) -> DataFrame:
 
 
 def new_changes(feed: DataFrame, checkpoints: DataFrame) -> DataFrame:
-    """(seq): the smallest number of every change none of whose deliveries the last complete checkpoint holds."""
-    rows = flag_inside(deliveries(feed), gaps(feed, checkpoints), "fresh", "index_id")
+    """(seq): the smallest number of every change none of whose deliveries the last complete checkpoint holds.
+
+    No checkpoint holds a delivery without an index.
+    """
+    rows = flag_inside(deliveries(feed), gaps(feed, checkpoints), "fresh", "index_id").withColumn("fresh", F.col("fresh") | F.col("index_id").isNull())
     return (
         rows.groupBy("global_id", "kind", "timestamp_ns", "h1", "h2", "none")
         .agg(F.min("seq").alias("seq"), F.min("fresh").alias("fresh"))
