@@ -86,11 +86,32 @@ def test_running_positions(spark):
         assert {r["i"]: r["place"] for r in got if r["k"] == key} == {i: n for n, (_, i) in enumerate(order)}
 
 
+def test_running_sums_of_one_value(spark):
+    """A group whose rows all tie is cut into ranges like any other."""
+    frame = spark.createDataFrame([("a" if i % 10 else "b", 1.0, i, i % 4) for i in range(900)], "k string, v double, i int, w int")
+    got = running(frame, ["k"], "v", ["i"], "w", "at", ranges=8).collect()
+    for key in "ab":
+        total = 0
+        for r in sorted((r for r in got if r["k"] == key), key=lambda r: r["i"]):
+            assert r["at"] == total
+            total += r["w"]
+    assert running(frame.limit(0), ["k"], "v", ["i"], "w", "at").count() == 0
+
+
 def test_windows_are_slices_of_sorted_lists(spark, world):
     table = projection.axis_table(spark, np.array([a for _, a in world["axes"]]))
     p = projection.projections(world["vectors"], table, "vec", D)
     q = projection.projections(world["asks"].withColumnRenamed("id", "qid"), table, "vec", D)
-    got = {(r[0], r[1]) for r in projection.candidates(projection.sorted_lists(p, q, ["index_id"]), ["index_id"], 6).collect()}
+    lists = projection.sorted_lists(p, q, ["index_id"], carry=True)
+    got = {(r[0], r[1]) for r in projection.candidates(lists, ["index_id"], 6).collect()}
+    assert projection.window_counts(lists, ["index_id"], 6).agg({"n": "sum"}).first()[0] == projection.window_members(lists, ["index_id"], 6).count()
+    best = {}
+    for r in projection.nearest_in_windows(lists, ["index_id"], 6, 3, D, width=5).collect():
+        best.setdefault(r["qid"], []).append((r["sq"], r["id"]))
+    bodies = {i: np.array(x) for _, i, x in world["rows"]}
+    for _, qid, v in world["queries"]:
+        by_hand = sorted((((bodies[i] - np.array(v)) ** 2).sum(), i) for q_, i in got if q_ == qid)[:3]
+        assert [i for _, i in sorted(best[qid])[:3]] == [i for _, i in by_hand]
     want = set()
     for grp, qid, v in world["queries"]:
         for _, a in world["axes"]:
@@ -109,28 +130,90 @@ def test_cells_shipped_and_met_agree(spark, world):
     assert near(1 << 20) == near(0) and len(near(0)) == 400
 
 
-def test_cone_search(spark, world):
-    entries = cones.entries(world["vectors"], world["cents"], world["axes"], 2, D).cache()
-    assert entries.count() == 800 and entries.where("cluster < 0").count() == 0
-    asks = world["asks"].selectExpr("id as qid", "vec as q")
-    bodies = world["vectors"].select("id", "vec")
-    everything = cones.probes(world["asks"], world["cents"], world["axes"], 5, 4, D)
+def slow_search(world, known, clusters, fans, windows, k):
+    """Windows, stopping test and ranking of one query after another, in plain loops."""
+    cells = {}
+    for grp, c, mu, _ in world["mu"]:
+        cells.setdefault(grp, []).append((c, np.array(mu)))
+    axes = np.array([a for _, a in world["axes"]])
+    dots = lambda v: [sum(x * y for x, y in zip(v, a)) for a in axes]
+    score = lambda v: [-abs(p) / (n if (n := np.sqrt(sum(x * x for x in v))) >= 1e-10 else 1.0) for p in dots(v)]
+    homes = {}
+    for grp, i, x in world["rows"]:
+        c, mu = min(cells[grp], key=lambda m: (((np.array(x) - m[1]) ** 2).sum(), m[0]))
+        v = np.array(x) - mu
+        for f in np.argsort(score(v), kind="stable")[:2]:
+            homes.setdefault((grp, c, int(f)), []).append((i, dots(v), np.array(x)))
+    out = {}
+    for grp, q, x in world["queries"]:
+        cones_ = []
+        for c, mu in sorted(cells[grp], key=lambda m: (((np.array(x) - m[1]) ** 2).sum(), m[0]))[:clusters]:
+            v = np.array(x) - mu
+            cones_ += [(homes[grp, c, int(f)], dots(v)) for f in np.argsort(score(v), kind="stable")[:fans] if (grp, c, int(f)) in homes]
+        for w in windows:
+            found, gaps = {}, []
+            for members, p in cones_:
+                if len(members) <= 2 * w:
+                    found |= {i: y for i, _, y in members}
+                    continue
+                per_axis = []
+                for a in range(len(axes)):
+                    right = sorted((m[1][a] - p[a], m[0]) for m in members if m[1][a] >= p[a])
+                    left = sorted(((m[1][a] - p[a], m[0]) for m in members if m[1][a] < p[a]), reverse=True)
+                    body = {m[0]: m[2] for m in members}
+                    found |= {i: body[i] for _, i in right[:w] + left[:w]}
+                    per_axis.append(min([abs(side[w][0]) for side in (right, left) if len(side) > w], default=np.inf))
+                gaps.append(max(per_axis))
+            ranked = sorted((((y - np.array(x)) ** 2).sum(), i) for i, y in found.items())
+            kth = np.sqrt(ranked[k - 1][0]) if len(ranked) >= k else None
+            if kth is None or min(gaps, default=np.inf) >= kth or w == windows[-1]:
+                out[q] = (w, kth is not None and min(gaps, default=np.inf) >= kth, [i for _, i in ranked[:k]], set(found))
+                break
+    return out
+
+
+@pytest.mark.parametrize(("limit", "part"), [(1 << 20, 65_536), (0, 65_536), (1 << 20, 7)])
+def test_cone_search(spark, world, monkeypatch, limit, part):
+    monkeypatch.setattr(coarse, "SHIP_LIMIT", limit)
+    monkeypatch.setattr(cones, "PART_ROWS", part)
+    twice = world["vectors"].union(world["vectors"].limit(60))  # repeated rows count once
+    known = coarse.counted(twice, world["cents"], D)
+    members = cones.members(twice, known, world["axes"], 2, D).cache()
+    assert cones.by_cone(members).where("cluster >= 0").count() == 920
+    where = lambda clusters, fans: cones.visits(world["asks"], known, world["axes"], clusters, fans, D)
+    rows = lambda df: {(r["qid"], r["rank"]): r["id"] for r in df.collect()}
     truth = brute(world, 5)
+    exact_rows = {(q, n + 1): i for q, best in truth.items() for n, (_, i) in enumerate(best)}
     # all clusters and cones and a window beyond every cone: the exact answer
-    full = search.adaptive(everything, entries, asks, bodies, 5, 400, D).collect()
-    assert {(r["qid"], r["rank"]): r["id"] for r in full} == {(q, n + 1): i for q, best in truth.items() for n, (_, i) in enumerate(best)}
-    some = cones.probes(world["asks"], world["cents"], world["axes"], 2, 2, D)
-    pairs = cones.cone_candidates(some, entries, 10)
-    allowed = {(r[0], r[1]) for r in cones.cluster_candidates(some, entries).collect()}
-    assert {(r[0], r[1]) for r in pairs.collect()} <= allowed
-    found = search.adaptive(some, entries, asks, bodies, 5, 40, D)
-    assert evaluate.recall(found.select("qid", "id"), spark.createDataFrame([(q, i) for q, b in truth.items() for _, i in b], "qid bigint, id bigint"), 5).first()[0] > 0.5
+    assert rows(search.adaptive(members, where(5, 4), 5, 400, D)) == exact_rows
+    assert rows(search.adaptive(members, where(5, 1), 5, 0, D, whole=True)) == exact_rows
+    some = where(2, 2)
+    windows = search.window_levels(3, 12)
+    got = search.adaptive(members, some, 3, 12, D).collect()
+    want = slow_search(world, known, 2, 2, windows, 3)
+    found = {q: [r["id"] for r in sorted(got, key=lambda r: r["rank"]) if r["qid"] == q] for q in want}
+    if part == 65_536:
+        assert {q: (w, sure, ids) for q, (w, sure, ids, _) in want.items()} == {q: next((r["w"], r["certified"]) for r in got if r["qid"] == q) + (found[q],) for q in want}
+        assert any(sure for _, sure, *_ in want.values()) and len({w for w, *_ in want.values()}) > 1
+    pairs = {(r[0], r[1]) for r in search.candidates(members, some, 4, D).collect()}
+    plain = {(q, i) for q, (*_, ids) in slow_search(world, known, 2, 2, [4], 3).items() for i in ids}
+    assert pairs == plain if part == 65_536 else pairs >= plain  # a cluster in parts gives more, never less
+    assert {(r["qid"], r["n"]) for r in search.candidate_counts(members, some, 4, D).collect()} == {(q, len({i for p, i in pairs if p == q})) for q, _ in pairs}
     # the sketch changes nothing but the work
-    own = projection.axis_table(spark, projection.random_axes(4, D, 1, True))
-    sketch = lambda df, v, name: projection.projections(df, own, v, D, name)
-    refined = search.refined(pairs, sketch(asks, "q", "q_sketch"), sketch(bodies, "vec", "sketch"), 5, D)
-    plain = search.best(search.with_distance(pairs, asks, bodies, D), 5)
-    assert sorted(map(tuple, refined.collect())) == sorted(map(tuple, plain.collect()))
+    own = projection.random_axes(4, D, 1, True)
+    spared = search.adaptive(members, some, 5, 10, D, sketch=own)
+    assert rows(spared) == rows(search.adaptive(members, some, 5, 10, D, fixed=True))
+
+
+def test_search_of_nothing(spark, world):
+    known = coarse.counted(world["vectors"], world["cents"], D)
+    members, asks = cones.members(world["vectors"], known, world["axes"], 2, D), cones.visits(world["asks"], known, world["axes"], 2, 2, D)
+    assert search.adaptive(members.limit(0), asks, 5, 10, D).count() == search.adaptive(members, asks.limit(0), 5, 10, D).count() == 0
+    # an index without centroids is one cell around the origin
+    lost = world["vectors"].selectExpr("index_id + 7 as index_id", "id", "vec")
+    alone = coarse.counted(lost, world["cents"], D)
+    sizes = coarse.over_cells(lost, alone, D, lambda cells, index, ids, x: [np.array([index], np.int32), cells.clusters[:1], cells.sizes[:1]], "index_id int, cluster int, n bigint").distinct()
+    assert sorted(map(tuple, sizes.collect())) == [(7, -1, 200), (8, -1, 200)]
 
 
 def test_axes():

@@ -23,7 +23,7 @@ def test_cone_searches_at_the_defaults(spark):
     assert few < near and near >= refined  # cones this small are candidates as a whole
     assert len(found & true) > len(pairs(spark, "adaptive_search") & true)
     assert refined == found  # no window of 200 is left before a cone is covered
-    ranks = [r[0] for r in reference._default_visits(spark, DATA).select("cluster_rank").distinct().collect()]
+    ranks = [r[0] for r in reference._default(spark, DATA)[1].select("cluster_rank").distinct().collect()]
     assert sorted(ranks) == list(range(1, 11))
 
 

@@ -102,7 +102,7 @@ class FanIndex:
         return coarse.prepare(self.cells.select("index_id", "cluster", "mu", "stated"), self.params.d)
 
     def _entries(self, rows: DataFrame) -> DataFrame:
-        return durable(cones.entries(rows, self._centroids(), self.axes, self.params.cone_top_k, self.params.d))
+        return durable(cones.members(rows, self._centroids(), self.axes, self.params.cone_top_k, self.params.d))
 
     def members(self) -> DataFrame:
         """(index_id, cluster, id, vec) of live vectors."""
@@ -125,27 +125,18 @@ class FanIndex:
         return self.entries.join(self.dead, "id", "left_anti")
 
     def _visits(self, asks: DataFrame, probes: int, fan_probes: int) -> DataFrame:
-        return cones.probes(asks, self._centroids(), self.axes, probes, min(fan_probes, self.params.fans), self.params.d)
+        return cones.visits(asks, self._centroids(), self.axes, probes, min(fan_probes, self.params.fans), self.params.d)
 
     def candidates(self, queries: DataFrame, window: int = 50, probes: int = 10, fan_probes: int = 2) -> DataFrame:
         """(qid, id): live vectors within the window in the visited cones; all members of the clusters if every cone is visited."""
         visits = self._visits(self._asks(queries), probes, fan_probes)
-        if fan_probes >= self.params.fans:
-            return cones.cluster_candidates(visits, self._live())
-        return cones.cone_candidates(visits, self._live(), window)
+        return search.candidates(self._live(), visits, window, self.params.d, whole=fan_probes >= self.params.fans)
 
     def search(self, queries: DataFrame, k: int = 10, window: int = 200, probes: int = 10, fan_probes: int = 2) -> DataFrame:
         """(qid, rank, id, dist): the k nearest of the visited cones, by (distance, id); windows grow as far as needed."""
-        asks, live = self._asks(queries), self._live()
-        visits = self._visits(asks, probes, fan_probes)
-        pairs_q, bodies = asks.select(F.col("id").alias("qid"), F.col("vec").alias("q")), live.select("id", "vec").dropDuplicates(["id"])
-        if fan_probes >= self.params.fans:
-            scored = search.with_distance(cones.cluster_candidates(visits, live), pairs_q, bodies, self.params.d)
-        else:
-            stop, levels = search.stop_levels(visits, durable(live), pairs_q, bodies, k, window, self.params.d)
-            scored = levels.join(stop, "qid").where("level <= w")
-        ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("sq", "id"))).where(F.col("rank") <= k)
-        return ranked.select("qid", F.col("rank").cast("int").alias("rank"), "id", V.from_sq("sq", self.params.metric).alias("dist"))
+        visits = self._visits(self._asks(queries), probes, fan_probes)
+        found = search.adaptive(self._live(), visits, k, window, self.params.d, whole=fan_probes >= self.params.fans)
+        return found.select("qid", "rank", "id", V.from_sq("sq", self.params.metric).alias("dist"))
 
     def describe(self) -> dict:
         """Parameters, and how many vectors, dead ids and filled clusters there are."""
@@ -250,11 +241,11 @@ class ProjectionIndex:
     def candidates(self, queries: DataFrame, window: int = 100) -> DataFrame:
         """(qid, id): within ``window`` ranks of the query on some direction."""
         asks = projection.projections(self._asks(queries), self.axes, "vec", self.d)
-        return projection.candidates(durable(projection.sorted_lists(self.projected, asks, ["index_id"])), ["index_id"], window)
+        return projection.candidates(projection.sorted_lists(self.projected, asks, ["index_id"]), ["index_id"], window)
 
     def search(self, queries: DataFrame, k: int = 10, window: int = 100) -> DataFrame:
         """(qid, rank, id, dist): the k nearest candidates with squared distances."""
-        asks = self._asks(queries).select("qid", F.col("vec").alias("q"))
-        scored = search.with_distance(self.candidates(queries, window), asks, self.vectors.select("id", "vec"), self.d)
-        ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("sq", "id"))).where(F.col("rank") <= k)
-        return ranked.select("qid", F.col("rank").cast("int").alias("rank"), "id", F.col("sq").alias("dist"))
+        asks = projection.projections(self._asks(queries), self.axes, "vec", self.d)
+        lists = projection.sorted_lists(self.projected, asks, ["index_id"], carry=True)
+        ranked = search.best(projection.nearest_in_windows(lists, ["index_id"], window, k, self.d), k)
+        return ranked.select("qid", "rank", "id", (F.col("dist") * F.col("dist")).alias("dist"))

@@ -4,18 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vecloom.operators.coarse import Cells, double_lists, lists, over_cells
+from vecloom.operators.coarse import Cells, Prepared, double_lists, in_order_dots, int_lists, lists, over_cells
 
-
-def _dots(x: np.ndarray, axes: np.ndarray) -> np.ndarray:
-    """Products of every row with every axis, summed from the first element to the last."""
-    total = np.zeros((len(x), len(axes)))
-    for j in range(x.shape[1]):
-        total += x[:, j : j + 1] * axes[:, j][None]
-    return total
+#: Members of a cluster from which it is laid out in several parts, by a hash of the id.
+PART_ROWS = 65_536
 
 
 def _scores(centred: np.ndarray, dots: np.ndarray) -> np.ndarray:
@@ -31,32 +25,84 @@ def _ranked(scores: np.ndarray, top: int) -> np.ndarray:
     return np.argsort(-scores, axis=1, kind="stable")[:, :top]
 
 
-def entries(rows: DataFrame, centroids: DataFrame, axes: list[tuple[int, list[float]]], top: int = 2, d: int = 32) -> DataFrame:
-    """(index_id, cluster, fan, id, score, proj, vec): each row in the ``top`` cones of its nearest cluster.
+class Directions:
+    """The axes of an index: one list for all clusters, and lists of their own for some, by (index_id, cluster).
 
-    ``proj`` are the centred projections on all axes.  Single members have cones like everyone, so nothing is unreachable.
+    All lists name the same number of axes by the same numbers.
     """
-    fans, a = np.array([f for f, _ in axes], np.int32), np.array([v for _, v in axes], np.float64)
+
+    def __init__(self, axes: list[tuple[int, list[float]]], own: dict[tuple[int, int], list[list[float]]] | None = None):
+        self.names = np.array([f for f, _ in axes], np.int32)
+        self.common = np.array([v for _, v in axes], np.float64)
+        self.own = {key: np.array(v, np.float64) for key, v in (own or {}).items()}
+
+    def dots(self, centred: np.ndarray, index: int, clusters: np.ndarray) -> np.ndarray:
+        """Products of centred rows with the axes of their clusters."""
+        out = in_order_dots(centred, self.common)
+        for c in np.unique(clusters).tolist() if self.own else ():
+            if (axes := self.own.get((index, c))) is not None:
+                out[clusters == c] = in_order_dots(centred[clusters == c], axes)
+        return out
+
+
+def directions(axes) -> Directions:
+    return axes if isinstance(axes, Directions) else Directions(axes)
+
+
+def _parts(cells: Cells) -> np.ndarray:
+    """Parts of each cell, from the counted sizes."""
+    return np.maximum(1, -(-cells.sizes // PART_ROWS))
+
+
+def in_parts(rows: DataFrame) -> DataFrame:
+    """Members with the ``part`` of their cluster that they lie in, of ``parts``."""
+    return rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+
+
+MEMBERS = "index_id int, cluster int, parts int, fans array<int>, id bigint, scores array<double>, proj array<double>, vec array<float>"
+
+
+def members(rows: DataFrame, centroids: DataFrame | Prepared, axes, top: int = 2, d: int = 32) -> DataFrame:
+    """(index_id, cluster, fans, id, scores, proj, vec, part): each row once, in its nearest cluster, with its ``top`` cones.
+
+    ``proj`` are the centred projections on all axes, ``scores`` those of the cones in ``fans``, best first.  Single members have cones
+    like everyone, so nothing is unreachable.  A cluster counted to be larger than ``PART_ROWS`` stands in several parts.
+    """
+    given = directions(axes)
 
     def visit(cells: Cells, index: int, ids: np.ndarray, x: np.ndarray) -> list:
         x = x.astype(np.float64)
         home = cells.distances(x).argmin(1)
         centred = x - cells.centroids[home]
-        dots = _dots(centred, a)
+        dots = given.dots(centred, index, cells.clusters[home])
         score = _scores(centred, dots)
         best = _ranked(score, top)
-        who, fan = np.repeat(np.arange(len(ids)), best.shape[1]), best.ravel()
-        return [np.full(len(who), index, np.int32), cells.clusters[home[who]], fans[fan], ids[who], score[who, fan], double_lists(dots[who]), lists(x[who])]
+        parts = _parts(cells)[home].astype(np.int32)
+        return [np.full(len(ids), index, np.int32), cells.clusters[home], parts, int_lists(given.names[best]), ids, double_lists(np.take_along_axis(score, best, 1)), double_lists(dots), lists(x)]
+
+    return in_parts(over_cells(rows, centroids, d, visit, MEMBERS))
+
+
+def by_cone(rows: DataFrame) -> DataFrame:
+    """(index_id, cluster, fan, id, score, proj, vec): a row per cone of each of ``members``."""
+    each = rows.select("index_id", "cluster", "id", "proj", "vec", F.explode(F.arrays_zip("fans", "scores")).alias("z"))
+    return each.select("index_id", "cluster", F.col("z.fans").alias("fan"), "id", F.col("z.scores").alias("score"), "proj", "vec")
+
+
+def entries(rows: DataFrame, centroids: DataFrame | Prepared, axes, top: int = 2, d: int = 32) -> DataFrame:
+    """(index_id, cluster, fan, id, score, proj, vec): each row in the ``top`` cones of its nearest cluster."""
+    return by_cone(members(rows, centroids, axes, top, d))
+
 
-    return over_cells(rows, centroids, d, visit, "index_id int, cluster int, fan int, id bigint, score double, proj array<double>, vec array<float>")
+VISITS = "index_id int, cluster int, part int, fans array<int>, qid bigint, scores array<double>, q_proj array<double>, q array<float>, cluster_rank int"
 
 
-def probes(queries: DataFrame, centroids: DataFrame, axes: list[tuple[int, list[float]]], clusters: int, fans: int, d: int = 32) -> DataFrame:
-    """(index_id, qid, cluster, cluster_rank, fan, fan_rank, score, q_proj, q): the cones each query visits.
+def visits(queries: DataFrame, centroids: DataFrame | Prepared, axes, clusters: int, fans: int, d: int = 32) -> DataFrame:
+    """(index_id, cluster, part, fans, qid, scores, q_proj, q, cluster_rank): where each query goes, a row per part of a visited cluster.
 
     The ``clusters`` nearest filled clusters (ties by number), and in each the ``fans`` axes of greatest score for the query centred there.
     """
-    names, a = np.array([f for f, _ in axes], np.int32), np.array([v for _, v in axes], np.float64)
+    given = directions(axes)
 
     def visit(cells: Cells, index: int, ids: np.ndarray, x: np.ndarray) -> list:
         x = x.astype(np.float64)
@@ -67,51 +113,28 @@ def probes(queries: DataFrame, centroids: DataFrame, axes: list[tuple[int, list[
         who, cell = np.repeat(np.arange(len(ids)), near.shape[1]), near.ravel()
         place = np.tile(np.arange(1, near.shape[1] + 1, dtype=np.int32), len(ids))
         there = np.isfinite(dist[who, cell])
-        who, cell, place = who[there], cell[there], place[there]
+        parts = _parts(cells)[cell] * there
+        turn = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+        who, cell, place = np.repeat(who, parts), np.repeat(cell, parts), np.repeat(place, parts)
         centred = x[who] - cells.centroids[cell]
-        dots = _dots(centred, a)
+        dots = given.dots(centred, index, cells.clusters[cell])
         score = _scores(centred, dots)
         best = _ranked(score, fans)
-        at, fan = np.repeat(np.arange(len(who)), best.shape[1]), best.ravel()
-        turn = np.tile(np.arange(1, best.shape[1] + 1, dtype=np.int32), len(who))
-        return [np.full(len(at), index, np.int32), ids[who[at]], cells.clusters[cell[at]], place[at], names[fan], turn, score[at, fan], double_lists(dots[at]), lists(x[who[at]])]
+        return [
+            np.full(len(who), index, np.int32), cells.clusters[cell], turn.astype(np.int32), int_lists(given.names[best]), ids[who],
+            double_lists(np.take_along_axis(score, best, 1)), double_lists(dots), lists(x[who]), place,
+        ]
 
-    schema = "index_id int, qid bigint, cluster int, cluster_rank int, fan int, fan_rank int, score double, q_proj array<double>, q array<float>"
-    return over_cells(queries, centroids, d, visit, schema)
+    return over_cells(queries, centroids, d, visit, VISITS)
+
+
+def probes(queries: DataFrame, centroids: DataFrame | Prepared, axes, clusters: int, fans: int, d: int = 32) -> DataFrame:
+    """(index_id, qid, cluster, cluster_rank, fan, fan_rank, score, q_proj, q): the cones each query visits, a row for each."""
+    once = visits(queries, centroids, axes, clusters, fans, d).where("part = 0")
+    each = once.select("index_id", "qid", "cluster", "cluster_rank", "q_proj", "q", F.posexplode(F.arrays_zip("fans", "scores")).alias("turn", "z"))
+    return each.select("index_id", "qid", "cluster", "cluster_rank", F.col("z.fans").alias("fan"), (F.col("turn") + 1).alias("fan_rank"), F.col("z.scores").alias("score"), "q_proj", "q")
 
 
 def sizes(cone_entries: DataFrame) -> DataFrame:
     """(index_id, cluster, fan, n): live members of each cone."""
     return cone_entries.groupBy("index_id", "cluster", "fan").agg(F.count("*").alias("n"))
-
-
-def ranked_pairs(visited: DataFrame, cone_entries: DataFrame, reach: int) -> DataFrame:
-    """(qid, cluster, fan, id, axis, side, rank, gap, n): on each axis and side of a query the members by distance along the axis.
-
-    Right: at or above the query, ascending; left: below, descending; ties by id in the same direction.  In cones of more than
-    2 * ``reach`` members only ranks up to ``reach`` + 1 are made (the limit is pushed below the shuffle); smaller cones keep all.
-    """
-    n = sizes(cone_entries)
-    pairs = visited.join(n, ["index_id", "cluster", "fan"]).join(cone_entries.select("index_id", "cluster", "fan", "id", "proj"), ["index_id", "cluster", "fan"])
-    rows = pairs.select("qid", "cluster", "fan", "id", "n", F.posexplode(F.arrays_zip("proj", "q_proj")).alias("axis", "z"))
-    rows = rows.select("qid", "cluster", "fan", "id", "n", "axis", (F.col("z.proj") - F.col("z.q_proj")).alias("over"))
-    cone = ["qid", "cluster", "fan", "axis"]
-    right = rows.where("over >= 0").withColumn("side", F.lit(1)).withColumn("rank", F.row_number().over(W.partitionBy(*cone).orderBy("over", "id")))
-    left = rows.where("over < 0").withColumn("side", F.lit(0)).withColumn("rank", F.row_number().over(W.partitionBy(*cone).orderBy(F.desc("over"), F.desc("id"))))
-    both = []
-    for part in (left, right):
-        both.append(part.where((F.col("n") <= 2 * reach) | (F.col("rank") <= reach + 1)))
-    return both[0].unionByName(both[1]).withColumn("gap", F.abs("over")).drop("over")
-
-
-def cone_candidates(visited: DataFrame, cone_entries: DataFrame, w: int) -> DataFrame:
-    """(qid, id): members within ``w`` ranks on some axis of a visited cone; a cone of at most 2w members gives all."""
-    ranked = ranked_pairs(visited, cone_entries, w)
-    return ranked.where((F.col("rank") <= w) | (F.col("n") <= 2 * w)).select("qid", "id").distinct()
-
-
-def cluster_candidates(visited: DataFrame, cone_entries: DataFrame) -> DataFrame:
-    """(qid, id): every member of the visited clusters, which is what visiting all their cones amounts to."""
-    where = visited.select("index_id", "qid", "cluster").distinct()
-    members = cone_entries.select("index_id", "cluster", "id").distinct()
-    return where.join(members, ["index_id", "cluster"]).select("qid", "id").distinct()

@@ -1,6 +1,7 @@
 """Exact nearest neighbours: every query against every vector of its group, in blocks.
 
-Vectors are cut into blocks by a hash of their id; the queries of a group visit all its blocks.  A block compares by matrix
+The vectors of a group are cut into blocks by a hash of their id, as many as its counted size asks for; the queries of a group visit all
+its blocks.  A block compares by matrix
 product, keeps what can be among the k best, re-scores that element by element, and hands on k rows per query.
 """
 
@@ -15,10 +16,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vecloom.functions.vecmath import from_sq, metric_name
-from vecloom.operators.coarse import in_order, matrix
-from vecloom.sources.tables import ship_code, slices
+from vecloom.operators.coarse import distinct, in_order, matrix
+from vecloom.sources.tables import ship_code, slices, small_enough
 
 _PAIRS = 4_000_000
+#: Vectors of a block: few enough to occupy all tasks, within these bounds.
+LEAST_BLOCK, MOST_BLOCK = 4_096, 65_536
+#: Bytes up to which the number of blocks per group is broadcast.
+CUT_LIMIT = 4 * 2**20
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -55,13 +60,19 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str = "
     """(qid, global_id, dist, rank): the k nearest rows of ``vectors`` (grp, id, vec) for each of ``queries`` (grp, id, vec).
 
     Only rows of the same ``grp`` are compared.  Ranked by (distance, id); fewer than k come out if the group has fewer.  Rows must
-    be distinct and usable; cosine normalises both sides, a zero vector stays zero.
+    be usable; whole rows repeated count once.  Cosine normalises both sides, a zero vector stays zero.
     """
     ship_code(vectors.sparkSession)
-    kind, n = metric_name(metric), blocks or slices(vectors.sparkSession)
+    kind = metric_name(metric)
+    counts = vectors.groupBy(F.col("grp").cast("bigint").alias("grp")).agg(F.count("*").alias("n"))
+    rows_each = F.least(F.lit(MOST_BLOCK), F.greatest(F.lit(LEAST_BLOCK), F.ceil(F.col("n") / (4 * slices(vectors.sparkSession)))))
+    cut = counts.select("grp", (F.lit(blocks) if blocks else F.ceil(F.col("n") / rows_each)).cast("int").alias("parts"))
+    if small_enough(cut, 32, CUT_LIMIT):
+        cut = F.broadcast(cut)
     side = lambda df, s: df.select(F.col("grp").cast("bigint").alias("grp"), "salt", F.lit(s).alias("side"), F.col("id").cast("bigint").alias("id"), F.col("vec").cast("array<float>").alias("vec"))
-    rows = side(vectors.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")), 0)
-    asks = side(queries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))), 1)
+    known = lambda df: df.select(F.col("grp").cast("bigint").alias("grp"), "id", "vec").join(cut, "grp")
+    rows = side(known(vectors).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")), 0)
+    asks = side(known(queries).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), 1)
     met = rows.unionByName(asks).repartition("grp", "salt").sortWithinPartitions("grp", "salt", "side")
     schema = pa.schema([("qid", pa.int64()), ("global_id", pa.int64()), ("sq", pa.float64())])
 
@@ -84,7 +95,10 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str = "
                     ids.append(who[a:split])
                     held.append(x[a:split])
                 if split < z and ids:
-                    ready = ready or (np.concatenate(ids), np.concatenate(held))
+                    if ready is None:
+                        every, points = np.concatenate(ids), np.concatenate(held)
+                        own = distinct(every, points)
+                        ready = every[own], points[own]
                     out.append(block_best(*ready, who[split:z], x[split:z], k))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t.type) for c, t in zip(zip(*out), schema)], schema=schema)

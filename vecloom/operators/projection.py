@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.functions.vecmath import dot_at
+from vecloom.operators.coarse import double_lists, in_order, in_order_dots, matrix
 from vecloom.operators.positions import running
+from vecloom.sources.tables import ship_code
+
+#: Places of a sorted list that are searched together at least, and at most unless a window is wider.
+LEAST_BLOCK, MOST_BLOCK = 1_024, 8_192
+_PAIRS = 2_000_000
 
 
 def random_axes(count: int, d: int, seed: int = 0, orthonormal: bool = False) -> np.ndarray:
@@ -26,31 +34,57 @@ def axis_rows(axes: DataFrame) -> list[tuple[int, list[float]]]:
 
 
 def projections(rows: DataFrame, axes: DataFrame, vec: str, d: int, name: str = "proj") -> DataFrame:
-    """``rows`` with an array of the projections of ``vec`` on every axis, in the order of the axes."""
-    columns = [dot_at(F.col(vec), F.array(*map(F.lit, a)), d) for _, a in axis_rows(axes)]
-    return rows.withColumn(name, F.array(*columns))
+    """``rows`` with an array of the projections of ``vec`` (usable) on every axis, in the order of the axes.
+
+    Sums run from the first element to the last, by Arrow batches.
+    """
+    ship_code(rows.sparkSession)
+    a = np.array([v for _, v in axis_rows(axes)], np.float64)
+    at, names = rows.columns.index(vec), [*rows.columns, name]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dots = double_lists(in_order_dots(matrix(b.column(at), d).astype(np.float64), a))
+            yield pa.RecordBatch.from_arrays([*b.columns, dots], names=names)
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(run, f"{fields}, `{name}` array<double>")
 
 
 def by_axis(projected: DataFrame, *keep: str) -> DataFrame:
     return projected.select(*keep, F.posexplode("proj").alias("axis", "p"))
 
 
-def sorted_lists(points: DataFrame, asks: DataFrame, by: list[str]) -> DataFrame:
+def sorted_lists(points: DataFrame, asks: DataFrame, by: list[str], carry: bool = False) -> DataFrame:
     """Points (id) and queries (qid) on each axis with ``pos``: how many points of the group have a smaller projection.
 
     For a point ties count smaller ids too, so ``pos`` is its place in the sorted list; for a query it is the insertion point before equals.
+    ``carry`` keeps ``vec`` with each row, for :func:`nearest_in_windows`.
     """
-    p = by_axis(points, *by, "id").select(*by, "axis", "p", F.lit(1).alias("is_point"), F.col("id").alias("who"))
-    q = by_axis(asks, *by, "qid").select(*by, "axis", "p", F.lit(0).alias("is_point"), F.col("qid").alias("who"))
+    more = ["vec"] if carry else []
+    p = by_axis(points, *by, "id", *more).select(*by, "axis", "p", F.lit(1).alias("is_point"), F.col("id").alias("who"), *more)
+    q = by_axis(asks, *by, "qid", *more).select(*by, "axis", "p", F.lit(0).alias("is_point"), F.col("qid").alias("who"), *more)
     return running(p.unionByName(q), [*by, "axis"], "p", ["is_point", "who"], "is_point", "pos")
 
 
+def _window(w: int | str) -> Column:
+    return F.col(w) if isinstance(w, str) else F.lit(w)
+
+
+def window_counts(lists: DataFrame, by: list[str], w: int | str) -> DataFrame:
+    """(axis, n): members of all queries' windows, from the places alone."""
+    n = lists.where("is_point = 1").groupBy(*by, "axis").agg(F.count("*").alias("size"))
+    q = lists.where("is_point = 0").join(n, [*by, "axis"])
+    members = F.least(F.col("pos") + _window(w), F.col("size")) - F.greatest(F.col("pos") - _window(w), F.lit(0))
+    return q.groupBy("axis").agg(F.sum(members).alias("n"))
+
+
 def window_members(lists: DataFrame, by: list[str], w: int | str) -> DataFrame:
     """(qid, id, axis): points at places [pos - w, pos + w) around each query's insertion point.
 
     ``w`` may name a column of ``by`` that holds the window of a group.  Joined on blocks of ``w`` places, of which a window meets at most three.
     """
-    w = F.col(w) if isinstance(w, str) else F.lit(w)
+    w = _window(w)
     q = lists.where("is_point = 0").select(*by, "axis", F.col("who").alias("qid"), F.col("pos").alias("at"))
     q = q.withColumn("block", F.explode(F.sequence(F.floor((F.greatest(F.col("at") - w, F.lit(0))) / w), F.floor((F.col("at") + w - 1) / w))))
     p = lists.where("is_point = 1").select(*by, "axis", F.col("who").alias("id"), "pos", F.floor(F.col("pos") / w).alias("block"))
@@ -66,3 +100,68 @@ def scaled(lists: DataFrame, by: list[str], share: float, least: int) -> DataFra
 def candidates(lists: DataFrame, by: list[str], w: int | str) -> DataFrame:
     """(qid, id): the union of the windows over all axes."""
     return window_members(lists, by, w).select("qid", "id").distinct()
+
+
+def _block_best(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, lo: np.ndarray, hi: np.ndarray, k: int) -> list[np.ndarray]:
+    """(qid, id, squared distance) of each query's k best of the rows lo to hi of one block, by (distance, id)."""
+    dist = (x * x).sum(1)[None] + (q * q).sum(1)[:, None] - 2.0 * (q @ x.T)
+    place = np.arange(len(x))[None]
+    dist = np.where((place >= lo[:, None]) & (place < hi[:, None]), dist, np.inf)
+    if len(x) > k:
+        kth = np.partition(dist, k - 1, axis=1)[:, k - 1]
+        limit = np.where(np.isfinite(kth), kth + 1e-9 * (1.0 + np.abs(np.where(np.isfinite(kth), kth, 0.0))), np.inf)
+        qi, xi = np.nonzero((dist <= limit[:, None]) & np.isfinite(dist))
+    else:
+        qi, xi = np.nonzero(np.isfinite(dist))
+    exact = in_order(x[xi], q[qi])
+    order = np.lexsort((ids[xi], exact, qi))
+    qi, xi, exact = qi[order], xi[order], exact[order]
+    keep = np.arange(len(qi)) - np.searchsorted(qi, qi) < k
+    return [qids[qi[keep]], ids[xi[keep]], exact[keep]]
+
+
+def nearest_in_windows(lists: DataFrame, by: list[str], w: int | str, k: int, d: int, width: int | None = None) -> DataFrame:
+    """(qid, id, sq): what can be among the k nearest of a query's windows over all axes, an id once at its nearest.
+
+    ``lists`` carry ``vec``.  A sorted list lies in blocks of neighbouring places, a query comes to the blocks its window meets (two at most, or as
+    many as its width needs), and a block hands on k rows per query: the windows' members are never written out as pairs.
+    """
+    ship_code(lists.sparkSession)
+    width = width or (MOST_BLOCK if isinstance(w, str) else max(LEAST_BLOCK, min(MOST_BLOCK, 2 * w)))
+    reach, group = _window(w).cast("bigint"), [*by, "axis"]
+    at = F.col("pos")
+    held = lists.where("is_point = 1").select(*group, F.floor(at / width).alias("block"), F.lit(0).alias("side"), "who", "pos", reach.alias("reach"), "vec")
+    blocks = F.sequence(F.floor(F.greatest(at - reach, F.lit(0)) / width), F.floor((at + reach - 1) / width))
+    asks = lists.where("is_point = 0").select(*group, F.explode(blocks).alias("block"), F.lit(1).alias("side"), "who", "pos", reach.alias("reach"), "vec")
+    key = [*group, "block"]
+    met = held.unionByName(asks).repartition(*key).sortWithinPartitions(*key, "side", "pos")
+    m = len(key)
+    schema = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("sq", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, parts, ready = None, [], None
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            keys = [b.column(i).to_numpy(zero_copy_only=False) for i in range(m)]
+            side, who, pos, far = (b.column(m + i).to_numpy(zero_copy_only=False) for i in range(4))
+            x = matrix(b.column(m + 4), d)
+            cuts = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in keys], axis=0)] if n > 1 else [True])
+            for a, z in zip(cuts.tolist(), np.r_[cuts[1:], n].tolist()):
+                if (here := tuple(c[a] for c in keys)) != last:
+                    last, parts, ready = here, [], None
+                split = a + int((side[a:z] == 0).sum())
+                if split > a:
+                    parts.append((who[a:split], pos[a:split], x[a:split].astype(np.float64)))
+                if split < z and parts:
+                    ready = ready or tuple(np.concatenate(c) for c in zip(*parts))
+                    ids, places, points = ready
+                    step = max(1, _PAIRS // len(ids))
+                    for c in range(split, z, step):
+                        e = min(c + step, z)
+                        out = _block_best(ids, points, who[c:e], x[c:e].astype(np.float64), pos[c:e] - far[c:e] - places[0], pos[c:e] + far[c:e] - places[0], k)
+                        yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, schema)], schema=schema)
+
+    best = met.mapInArrow(run, "qid bigint, id bigint, sq double")
+    return best.groupBy("qid", "id").agg(F.min("sq").alias("sq"))

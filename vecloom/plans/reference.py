@@ -36,6 +36,11 @@ def stored(spark: SparkSession, base: str) -> DataFrame:
     return coarse.usable_vectors(read(spark, base, "vectors"), D).distinct()
 
 
+def loaded(spark: SparkSession, base: str) -> DataFrame:
+    """(index_id, id, vec): usable vectors as they lie; operators that bring equal ids together drop repeated rows there."""
+    return coarse.usable_vectors(read(spark, base, "vectors"), D)
+
+
 def asked(spark: SparkSession, base: str) -> DataFrame:
     rows = read(spark, base, "queries")
     return rows.where(F.col("qid").isNotNull() & F.col("index_id").isNotNull() & V.usable("q", D)).select("index_id", F.col("qid").alias("id"), F.col("q").alias("vec"))
@@ -57,17 +62,24 @@ def bodies(spark: SparkSession, base: str) -> DataFrame:
     return stored(spark, base).select("id", "vec")
 
 
-def visits(spark: SparkSession, base: str, clusters: int = 4, fans: int = 2) -> DataFrame:
-    return cones.probes(asked(spark, base), centroids(spark, base), axes(spark, base), clusters, fans)
+def cells(spark: SparkSession, base: str) -> coarse.Prepared:
+    """The checkpoints' cells with the vectors in each counted."""
+    return coarse.counted(loaded(spark, base), centroids(spark, base), D)
+
+
+def laid_out(spark: SparkSession, base: str, clusters: int = 4, fans: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(members of the cones, visits of the queries), both by the parts of clusters."""
+    known, own = cells(spark, base), projection.axis_rows(read(spark, base, "axes"))
+    return cones.members(loaded(spark, base), known, own), cones.visits(asked(spark, base), known, own, clusters, fans)
 
 
 def cone_rows(spark: SparkSession, base: str) -> DataFrame:
     return cones.entries(stored(spark, base), centroids(spark, base), axes(spark, base))
 
 
-def homes(spark: SparkSession, base: str) -> DataFrame:
-    """(index_id, id, cluster, sq_dist) of every vector in an index with a complete checkpoint."""
-    return coarse.nearest_cells(stored(spark, base), centroids(spark, base)).where("cluster >= 0").drop("rank")
+def homes(spark: SparkSession, base: str, carry: bool = False) -> DataFrame:
+    """(index_id, id, cluster, sq_dist[, vec]) of every vector in an index with a complete checkpoint."""
+    return coarse.nearest_cells(stored(spark, base), centroids(spark, base), carry=carry).where("cluster >= 0").drop("rank")
 
 
 def grouped(rows: DataFrame) -> DataFrame:
@@ -135,7 +147,7 @@ def candidate_distances(spark, base):
 
 
 def _knn(spark, base, metric, k=10):
-    return exact.nearest(grouped(asked(spark, base)), grouped(stored(spark, base)), k, metric, D)
+    return exact.nearest(grouped(asked(spark, base)), grouped(loaded(spark, base)), k, metric, D)
 
 
 @register(query("SELECT qid, rank, global_id, dist FROM truth", "truth"))
@@ -161,7 +173,7 @@ def exact_knn_cosine(spark, base):
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, axis) AS rank FROM (SELECT qid, axis, {sq("v", "(a::FLOAT[])")} AS d FROM asked CROSS JOIN ax))""", "asked", "ax"))
 def exact_knn_k_exceeds_n(spark, base):
     """Ten neighbours asked for among four vectors: four come out."""
-    few = read(spark, base, "axes").select(F.lit(0).alias("grp"), F.col("axis").cast("bigint").alias("id"), F.col("a").alias("vec")).distinct()
+    few = read(spark, base, "axes").select(F.lit(0).alias("grp"), F.col("axis").cast("bigint").alias("id"), F.col("a").alias("vec"))
     return exact.nearest(asked(spark, base).select(F.lit(0).alias("grp"), "id", "vec"), few, 10, "l2", D)
 
 
@@ -212,26 +224,23 @@ def axis_rank_positions(spark, base):
     return lists.where("is_point = 0").select(F.col("who").alias("qid"), "axis", "p", F.col("pos").cast("bigint").alias("pos"))
 
 
-def _window_pairs(spark, base, w=100):
-    lists = durable(projection.sorted_lists(_point_projections(spark, base), _query_projections(spark, base), ["index_id"]))
-    return projection.candidates(lists, ["index_id"], w)
+def _lists(spark, base, carry=False):
+    return projection.sorted_lists(_point_projections(spark, base), _query_projections(spark, base), ["index_id"], carry)
 
 
 @register(query("SELECT axis, count(*) AS n FROM (SELECT q.qid, q.axis, p.global_id FROM qpos q JOIN ppos p ON p.index_id = q.index_id AND p.axis = q.axis AND p.pos >= q.pos - 100 AND p.pos < q.pos + 100) GROUP BY axis", "qpos", "ppos"))
 def window_candidates(spark, base):
     """Members of the rank windows, counted per axis."""
-    lists = durable(projection.sorted_lists(_point_projections(spark, base), _query_projections(spark, base), ["index_id"]))
-    return projection.window_members(lists, ["index_id"], 100).groupBy("axis").agg(F.count("*").alias("n"))
+    return projection.window_counts(_lists(spark, base), ["index_id"], 100)
 
 
 @register(query("SELECT qid, global_id FROM wcands", "wcands"))
 def projection_candidates(spark, base):
-    return _window_pairs(spark, base).select("qid", F.col("id").alias("global_id"))
+    return projection.candidates(_lists(spark, base), ["index_id"], 100).select("qid", F.col("id").alias("global_id"))
 
 
 def _projection_found(spark, base):
-    scored = search.with_distance(_window_pairs(spark, base), asks_q(spark, base), bodies(spark, base))
-    return search.best(scored, 10)
+    return search.best(projection.nearest_in_windows(_lists(spark, base, carry=True), ["index_id"], 100, 10, D), 10)
 
 
 @register(query("SELECT qid, rank, global_id, dist FROM wfound", "wfound"))
@@ -245,20 +254,20 @@ def projection_search(spark, base):
 DIRECTIONS, SHARE, LEAST_WINDOW = 16, 0.02, 100
 
 
-def _direction_pairs(spark, base):
+def _direction_lists(spark, base, carry=False):
     own = projection.axis_table(spark, projection.random_axes(DIRECTIONS, D))
     asks = projection.projections(asked(spark, base).withColumnRenamed("id", "qid"), own, "vec", D)
-    lists = durable(projection.sorted_lists(projection.projections(stored(spark, base), own, "vec", D), asks, ["index_id"]))
-    return projection.candidates(durable(projection.scaled(lists, ["index_id"], SHARE, LEAST_WINDOW)), ["index_id", "w"], "w")
+    lists = projection.sorted_lists(projection.projections(stored(spark, base), own, "vec", D), asks, ["index_id"], carry)
+    return projection.scaled(lists, ["index_id"], SHARE, LEAST_WINDOW)
 
 
 def _directions_found(spark, base):
-    return search.best(search.with_distance(_direction_pairs(spark, base), asks_q(spark, base), bodies(spark, base)), 10)
+    return search.best(projection.nearest_in_windows(_direction_lists(spark, base, carry=True), ["index_id"], "w", 10, D), 10)
 
 
 @register()
 def projection_index_candidates(spark, base):
-    return _direction_pairs(spark, base).select("qid", F.col("id").alias("global_id"))
+    return projection.candidates(_direction_lists(spark, base), ["index_id", "w"], "w").select("qid", F.col("id").alias("global_id"))
 
 
 @register()
@@ -308,7 +317,7 @@ def quantization_error(spark, base):
 
 
 def _homed_vectors(spark, base):
-    return homes(spark, base).join(bodies(spark, base), "id")
+    return homes(spark, base, carry=True)
 
 
 @register(query("SELECT index_id, cluster, n, mu FROM vmean", "vmean"))
@@ -339,7 +348,8 @@ def route_clusters(spark, base):
 
 @register(query("SELECT qid, cluster, cluster_rank, fan, fan_rank, score FROM visited", "visited"))
 def route_cones(spark, base):
-    return visits(spark, base).where("cluster >= 0").select("qid", "cluster", "cluster_rank", "fan", "fan_rank", "score")
+    rows = cones.probes(asked(spark, base), centroids(spark, base), axes(spark, base), 4, 2)
+    return rows.where("cluster >= 0").select("qid", "cluster", "cluster_rank", "fan", "fan_rank", "score")
 
 
 @register(query("SELECT cluster, fan, global_id, score, proj FROM cones", "cones"))
@@ -354,13 +364,13 @@ def cone_sizes(spark, base):
 
 @register(query("SELECT qid, global_id FROM ccands", "ccands"))
 def cone_candidates(spark, base):
-    return cones.cone_candidates(visits(spark, base), cone_rows(spark, base), 50).select("qid", F.col("id").alias("global_id"))
+    return search.candidates(*laid_out(spark, base), 50).select("qid", F.col("id").alias("global_id"))
 
 
 @register(query("SELECT DISTINCT r.qid, h.global_id FROM routed r JOIN home h USING (index_id, cluster)", "routed", "home"))
 def full_cluster_bypass(spark, base):
     """Visiting all cones of a cluster is visiting its members."""
-    return cones.cluster_candidates(visits(spark, base, fans=4), cone_rows(spark, base)).select("qid", F.col("id").alias("global_id"))
+    return search.candidates(*laid_out(spark, base), 0, whole=True).select("qid", F.col("id").alias("global_id"))
 
 
 @register(query("SELECT index_id, cluster, fan, list(global_id ORDER BY global_id) AS ids FROM members JOIN csize USING (index_id, cluster, fan) WHERE n <= 100 GROUP BY ALL", "members", "csize"))
@@ -388,32 +398,38 @@ def _with_stop(final: str) -> str:
     return query("@@", "cranks", "visited", "csize", "asked", "stored").replace("\n@@", "," + _STOP + final)
 
 
+def _found(rows):
+    return rows.select("qid", "rank", F.col("id").alias("global_id"), F.sqrt("sq").alias("dist"))
+
+
+def _stops(rows):
+    return rows.where("rank = 1").select("qid", "w", "certified")
+
+
 @register(_with_stop("SELECT qid, w, certified FROM stop"))
 def adaptive_stop_level(spark, base):
     """The window each query stops at, and whether all its visited cones were covered (the coverage test)."""
-    stop, _ = search.stop_levels(visits(spark, base), durable(cone_rows(spark, base)), asks_q(spark, base), bodies(spark, base), 10, 50)
-    return stop
+    return _stops(search.adaptive(*laid_out(spark, base), 10, 50))
 
 
 @register(_with_stop("""SELECT qid, rank::INTEGER AS rank, global_id, sqrt(d) AS dist, w, certified FROM (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, global_id) AS rank FROM scored JOIN stop USING (qid) WHERE level <= w) WHERE rank <= 10"""))
 def adaptive_search(spark, base):
-    return search.adaptive(visits(spark, base), durable(cone_rows(spark, base)), asks_q(spark, base), bodies(spark, base)).withColumnRenamed("id", "global_id")
+    return search.adaptive(*laid_out(spark, base), 10, 50).select("qid", "rank", F.col("id").alias("global_id"), F.sqrt("sq").alias("dist"), "w", "certified")
 
 
 def _orthonormal(spark, base):
     return projection.axis_table(spark, projection.random_axes(4, D, seed=0, orthonormal=True))
 
 
+_SKETCH = projection.random_axes(4, D, seed=0, orthonormal=True)
+
+
 @register(query(f"""SELECT qid, rank::INTEGER AS rank, global_id, sqrt(d) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, global_id) AS rank FROM (
   SELECT c.qid, c.global_id, {sq("q.v", "s.v")} AS d FROM ccands c JOIN asked q USING (qid) JOIN stored s ON s.global_id = c.global_id)) WHERE rank <= 10""", "ccands", "asked", "stored"))
 def sketch_refine_search(spark, base):
     """Refinement through the sketch's lower bound gives exactly what refining every candidate gives."""
-    own = _orthonormal(spark, base)
-    pairs = cones.cone_candidates(visits(spark, base), cone_rows(spark, base), 50)
-    asks = projection.projections(asks_q(spark, base), own, "q", D, "q_sketch")
-    rows = projection.projections(bodies(spark, base), own, "vec", D, "sketch")
-    return search.refined(pairs, asks, rows, 10).withColumnRenamed("id", "global_id")
+    return _found(search.adaptive(*laid_out(spark, base), 10, 50, sketch=_SKETCH))
 
 
 # the same searches at the index's own defaults; the ones above are their cheaper setting, 4 clusters and window 50
@@ -422,51 +438,39 @@ def sketch_refine_search(spark, base):
 CLUSTERS, FANS, WINDOW, CANDIDATE_WINDOW = 10, 2, 200, 50
 
 
-def _default_visits(spark, base):
-    return visits(spark, base, CLUSTERS, FANS)
-
-
-def _default_pairs(spark, base, w):
-    return cones.cone_candidates(_default_visits(spark, base), durable(cone_rows(spark, base)), w)
+def _default(spark, base):
+    return laid_out(spark, base, CLUSTERS, FANS)
 
 
 @register()
 def cone_search_candidates(spark, base):
-    return _default_pairs(spark, base, CANDIDATE_WINDOW).select("qid", F.col("id").alias("global_id"))
+    return search.candidates(*_default(spark, base), CANDIDATE_WINDOW).select("qid", F.col("id").alias("global_id"))
 
 
 @register()
 def cone_search_cost(spark, base):
-    return evaluate.mean_candidates(_default_pairs(spark, base, CANDIDATE_WINDOW))
+    return search.candidate_counts(*_default(spark, base), CANDIDATE_WINDOW).agg(F.avg("n").alias("cands"))
 
 
 @register()
 def cone_search_stop_level(spark, base):
-    stop, _ = search.stop_levels(_default_visits(spark, base), durable(cone_rows(spark, base)), asks_q(spark, base), bodies(spark, base), 10, WINDOW)
-    return stop
-
-
-def _cone_found(spark, base):
-    return search.adaptive(_default_visits(spark, base), durable(cone_rows(spark, base)), asks_q(spark, base), bodies(spark, base), 10, WINDOW)
+    return _stops(search.adaptive(*_default(spark, base), 10, WINDOW))
 
 
 @register()
 def cone_search(spark, base):
-    return _cone_found(spark, base).withColumnRenamed("id", "global_id")
+    return search.adaptive(*_default(spark, base), 10, WINDOW).select("qid", "rank", F.col("id").alias("global_id"), F.sqrt("sq").alias("dist"), "w", "certified")
 
 
 @register()
 def cone_search_recall(spark, base):
-    return evaluate.recall(_cone_found(spark, base), _truth(spark, base), 10)
+    return evaluate.recall(search.adaptive(*_default(spark, base), 10, WINDOW), _truth(spark, base), 10)
 
 
 @register()
 def cone_search_refined(spark, base):
     """Candidates of the search's window, refined through the sketch's lower bound."""
-    own = _orthonormal(spark, base)
-    asks = projection.projections(asks_q(spark, base), own, "q", D, "q_sketch")
-    rows = projection.projections(bodies(spark, base), own, "vec", D, "sketch")
-    return search.refined(_default_pairs(spark, base, WINDOW), asks, rows, 10).withColumnRenamed("id", "global_id")
+    return _found(search.adaptive(*_default(spark, base), 10, WINDOW, sketch=_SKETCH))
 
 
 @register(query("SELECT count(*) AS pairs, 0::BIGINT AS violations FROM routed r JOIN home h USING (index_id, cluster) WHERE r.cluster_rank = 1", "routed", "home"))
@@ -521,7 +525,7 @@ def distance_ratio(spark, base):
 
 @register(query("SELECT avg(n) AS cands FROM (SELECT qid, count(*) AS n FROM ccands GROUP BY qid)", "ccands"))
 def avg_candidates(spark, base):
-    return evaluate.mean_candidates(cones.cone_candidates(visits(spark, base), cone_rows(spark, base), 50))
+    return search.candidate_counts(*laid_out(spark, base), 50).agg(F.avg("n").alias("cands"))
 
 
 _SWEEP = """sweep AS MATERIALIZED (SELECT cp, avg(n) AS cands, (sum(hit) / (count(*) * 10))::DOUBLE AS recall FROM (
@@ -579,7 +583,8 @@ def scaling_exponent(spark, base):
 def candidates_superset_check(spark, base):
     """Results that are no candidates: none."""
     found = _projection_found(spark, base).select("qid", F.col("id").alias("global_id"))
-    return found.exceptAll(_window_pairs(spark, base).select("qid", F.col("id").alias("global_id")))
+    pairs = projection.candidates(_lists(spark, base), ["index_id"], 100)
+    return found.exceptAll(pairs.select("qid", F.col("id").alias("global_id")))
 
 
 @register(query("""SELECT index_id, n, fans, least(128, 2 * fans) AS wide, greatest(15, floor(15 * sqrt(n / 10000.0))::INTEGER) AS base_window FROM (
@@ -734,6 +739,7 @@ def stream_mutations(spark, base):
 
 
 def _cells(spark, base):
+    """The checkpoints' clusters with the members and errors counted from the vectors."""
     return maintain.quantization_error(homes(spark, base)).join(centroids(spark, base).select("index_id", "cluster", F.col("centroid").alias("mu")), ["index_id", "cluster"])
 
 
@@ -768,9 +774,9 @@ def _displaced(spark, base):
     """(index_id, cluster, seq, v): inserted and updated vectors against the centroid they are nearest to."""
     rows = fold.changes(read(spark, base, "mutations")).where((F.col("kind") != "delete") & V.usable("vector", D) & F.col("index_id").isNotNull())
     batch = rows.select("index_id", F.col("seq").alias("id"), F.col("vector").alias("vec"))
-    near = coarse.nearest_cells(batch, centroids(spark, base)).where("cluster >= 0")
+    near = coarse.nearest_cells(batch, centroids(spark, base), carry=True).where("cluster >= 0")
     mu = centroids(spark, base).select("index_id", "cluster", "centroid")
-    return near.join(batch.select("id", "vec"), "id").join(mu, ["index_id", "cluster"]).select("index_id", "cluster", F.col("id").alias("seq"), V.centre("vec", "centroid").alias("v"))
+    return near.join(mu, ["index_id", "cluster"]).select("index_id", "cluster", F.col("id").alias("seq"), V.centre("vec", "centroid").alias("v"))
 
 
 @register()
@@ -819,7 +825,7 @@ def describe_index(spark, base):
 def tuner_suggest(spark, base):
     """Alpha chosen by the process for each round, scored by recall of the projection index over a sweep of windows."""
     found = durable(_truth(spark, base))
-    lists = durable(projection.sorted_lists(_point_projections(spark, base), _query_projections(spark, base), ["index_id"]))
+    lists = _lists(spark, base)
 
     def score(alpha: float) -> float:
         pairs = projection.candidates(lists, ["index_id"], max(10, int(100 * alpha)))
