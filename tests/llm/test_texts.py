@@ -140,21 +140,50 @@ def test_mix_reaches_shares(spark):
     targets = [("p", 0.5, "big", 0.7, 2, 1), ("p", 0.5, "Small ", 0.25, 3, 1), ("p", 0.5, "gone", 0.05, 3, 1), ("p", 0.5, "gone", 0.05, 3, 1), ("q", 1.0, "big", 1.0, 1, 1)]
     counts = counted(spark, rows)
     plans = curriculum.schedule(counts, spark.createDataFrame(targets, TARGETS))
-    placed = curriculum.assignments(counts, plans)
-    out = {(r["plan"], r["source"]): r for r in curriculum.report(placed, plans).collect()}
+    order = curriculum.training_order(curriculum.assignments(counts, plans))
+    out = {(r["plan"], r["source"]): r for r in curriculum.report(order, plans).collect()}
     assert len(out) == 4
     total = sum(r[2] for r in rows)
     assert out["p", "big"]["demand"] == pytest.approx(0.35 * total) and abs(out["p", "big"]["placed_tokens"] - 0.35 * total) < 20
     small = out["p", "small"]
-    assert small["short"] and small["placed_tokens"] == 4_500 and small["copies"] == 150 and out["p", "gone"]["short"] and out["p", "gone"]["placed_tokens"] == 0
-    assert not out["p", "big"]["short"] and out["q", "big"]["short"] and out["p", "big"]["actual_share"] + small["actual_share"] == pytest.approx(1)
-    order = curriculum.training_order(placed).where("plan = 'p'").collect()
-    at = [r["position"] for r in order]
-    assert at == sorted(at) and min(at) >= 0 and max(at) <= 0.5 * total
-    # the source of longer documents gains weight over time
-    half = len(order) // 2
-    share = lambda part: sum(r["source"] == "small" for r in part) / len(part)
-    assert share(order[half:]) > share(order[:half])
+    assert small["short"] and small["placed_tokens"] == 4_500 and small["copies"] == 150 and 0 < small["reached"] < small["size"]
+    assert out["p", "gone"]["short"] and (out["p", "gone"]["placed_tokens"], out["p", "gone"]["reached"]) == (0, 0.0)
+    assert not out["p", "big"]["short"] and out["p", "big"]["reached"] == out["p", "big"]["size"] and out["q", "big"]["short"]
+    assert out["p", "big"]["actual_share"] + small["actual_share"] == pytest.approx(1)
+    # the sequence, by hand
+    g = {(r["plan"], r["source"]): (r["g"], r["demand"], r["size"], r["supply"], r["max_repeats"]) for r in plans.collect()}
+    offset = {r["doc_id"]: r["offset"] for r in curriculum.offsets(counts).collect()}
+    want = []
+    for (plan, source), (tilt, demand, size, supply, repeats) in g.items():
+        for doc, name, tokens in rows:
+            for copy in range(repeats if name == source else 0):
+                if (start := offset[doc] + copy * supply) < demand:
+                    low, high = 0.0, 1.0  # bisect the integral of the weight
+                    for _ in range(60):
+                        mid = (low + high) / 2
+                        low, high = (mid, high) if mid + tilt * (mid * mid - mid) < start / demand else (low, mid)
+                    want.append((plan, low * size, source, doc, copy, tokens))
+    got = {p: sorted((r for r in order.collect() if r["plan"] == p), key=lambda r: r["place"]) for p in "pq"}
+    for p in "pq":
+        part = sorted(w for w in want if w[0] == p)
+        assert [(r["doc_id"], r["copy"]) for r in got[p]] == [w[3:5] for w in part]
+        assert [r["position"] for r in got[p]] == pytest.approx([w[1] for w in part], abs=1e-6)
+        assert [r["place"] for r in got[p]] == [sum(w[5] for w in part[:n]) for n in range(len(part))]
+    # the source of longer documents gains weight over time; the other leads
+    assert out["p", "big"]["first_half_share"] > out["p", "big"]["second_half_share"]
+    half = sum(r["tokens"] for r in got["p"]) / 2
+    early = [r for r in got["p"] if r["place"] < half]
+    assert out["p", "big"]["first_half_share"] == pytest.approx(sum(r["tokens"] for r in early if r["source"] == "big") / sum(r["tokens"] for r in early))
+
+
+def test_shortage_is_exact(spark):
+    """Exactly enough is enough, a token less is not."""
+    rows = [(i, "a", 7) for i in range(10)] + [(100, "b", 70)]
+    targets = [("p", 1.0, "a", 0.5, 1, 0), ("p", 1.0, "b", 0.5, 1, 0), ("q", 1.5, "a", 1.0, 3, 0), ("r", 1.0, "a", 0.5, 0, 0), ("s", 141 / 140, "a", 0.5, 1, 0)]
+    counts = counted(spark, rows)
+    plans = curriculum.schedule(counts, spark.createDataFrame(targets, TARGETS))
+    out = {(r["plan"], r["source"]): r["short"] for r in curriculum.report(curriculum.training_order(curriculum.assignments(counts, plans)), plans).collect()}
+    assert out == {("p", "a"): False, ("p", "b"): False, ("q", "a"): False, ("r", "a"): True, ("s", "a"): True}
 
 
 def test_schedule_inverts(spark):
@@ -166,7 +195,7 @@ def test_schedule_inverts(spark):
 
 def test_empty_mix(spark):
     plans = curriculum.schedule(counted(spark, []), spark.createDataFrame([("p", 1.0, "a", 1.0, 2, 0)], TARGETS))
-    rows = curriculum.report(curriculum.assignments(counted(spark, []), plans), plans).collect()
+    rows = curriculum.report(curriculum.training_order(curriculum.assignments(counted(spark, []), plans)), plans).collect()
     assert [(r["placed_tokens"], r["actual_share"], r["short"]) for r in rows] == [(0, 0.0, False)]
 
 
