@@ -43,6 +43,11 @@ def test_words():
     assert text.words("a left-\n% over right-\nhand", {"leftover"}) == ["a", "leftover", "right", "hand"]
     assert text.words("\\newcommand{\\zz}{plain}\nso \\zz{} it is")[-4:] == ["so", "plain", "it", "is"]
     assert text.words("") == []
+    bomb = "\\newcommand{\\zz}{" + "boom " * 2_000 + "}" + "\\zz " * 4_000
+    assert text.words(bomb).count("boom") == 2_000  # read where it is defined, not four thousand times
+    assert text.word_stretches(bomb)[0] == text.words(bomb)
+    long = "wordy " * 60
+    assert len(text.words("\\newcommand{\\zz}{" + long + "}\n\\zz{} end")) == 181  # a macro of any length, where it is defined too
 
 
 ITEM = "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon."
@@ -82,7 +87,7 @@ def test_leaks_in_many_shards_and_long_texts(spark, monkeypatch):
 
 
 def test_spans_merge(spark):
-    found = spark.createDataFrame([(1, 1, 5, 20, 12), (1, 2, 21, 40, 12), (1, 1, 50, 70, 12), (2, 1, 0, 13, 12)], fmindex.FOUND)
+    found = spark.createDataFrame([(1, 1, 5, 21, 12), (1, 2, 21, 40, 12), (1, 1, 50, 70, 12), (2, 1, 0, 13, 12)], fmindex.FOUND)
     assert sorted(map(tuple, fmindex.removal_spans(found).collect())) == [(1, 5, 40, 2), (1, 50, 70, 1), (2, 0, 13, 1)]
 
 
@@ -96,10 +101,47 @@ def test_spans_keep_to_the_passage():
     chance = other[:25] + at(w[:12]) + [-1] * 7 + at(w[19:]) + other
     extra = other + at(w[:6]) + [-1] + at(w[6:14]) + other
     beyond = other + at(w[:13]) + [-1] + at(w[13:16]) + other
-    rows = fmindex.search_shard([1, 2, 3], [np.array(x, np.int64) for x in (chance, extra, beyond)], items)
-    span = {doc: (min(r[2] for r in rows if r[0] == doc), max(r[3] for r in rows if r[0] == doc)) for doc in (1, 2, 3)}
-    assert span == {1: (25, 36), 2: (30, 44), 3: (30, 46)}
-    assert {r[4] for r in rows if r[0] == 1} == {12}
+    rows = fmindex.search_shard([np.array(x, np.int64) for x in (chance, extra, beyond)], items)
+    span = {doc: (min(r[2] for r in rows if r[0] == doc), max(r[3] for r in rows if r[0] == doc)) for doc in (0, 1, 2)}
+    assert span == {0: (25, 36), 1: (30, 44), 2: (30, 46)}
+    assert {r[4] for r in rows if r[0] == 0} == {12}
+
+
+def test_stretches_of_words():
+    odd = "\\newcommand{\\zz}{plain words}\nCaf\\'e \\emph{Na\u00efve} \\label{x:y}\ufb01ne co\\-operate % left\n% over \\zz{} end-\n% ing right-\nhand \u0130x"
+    for known in (frozenset(), {"ending"}):
+        found, first, end = text.word_stretches(odd, known)
+        assert found == text.words(odd, known)
+        cut = {w: odd[a:z] for w, a, z in zip(found, first, end)}
+        assert (cut["cafe"], cut["naive"], cut["fine"], cut["cooperate"], cut["right"]) == ("Caf\\'e", "Na\u00efve", "\ufb01ne", "co\\-operate", "right")
+        assert cut.get("ending", "end-\n% ing") == "end-\n% ing" and odd[first[found.index("over") + 1] :].startswith("\\zz{}")
+    assert text.word_stretches("")[0] == []
+
+
+def test_spans_are_characters_of_the_source(spark):
+    w = ITEM[:-1].split()
+    passage = f"\\textbf{{{' '.join(w[:4])}}} {' '.join(w[4:9])}\n%% {' '.join(w[9:12])}"
+    bodies = [f"{FILL}\n{passage}. {FILL}", f"\u00c4\u00f6 {FILL} {' '.join(w)} {FILL} {OTHER}"]
+    table = spark.createDataFrame([(1, "t", ITEM, None, 7), (2, "t", OTHER, None, 7)], "item_id bigint, task string, text string, answer string, doc_id bigint")
+    cut = fmindex.removal_spans(fmindex.leaks(docs(spark, [(i, b, "en", "s") for i, b in enumerate(bodies)]), table)).collect()
+    got = sorted((r["doc_id"], bodies[r["doc_id"]][r["first_char"] : r["end_char"]]) for r in cut)
+    assert got == [(0, passage[len("\\textbf{") :]), (1, ITEM[:-1]), (1, OTHER[:-1])]
+
+
+def test_long_items_in_pieces(spark, monkeypatch):
+    """An item far longer than a piece: passages at its start, middle and end, also when the items come in several passes."""
+    rng = random.Random(4)
+    long = [f"w{rng.randrange(10_000)}" for _ in range(3_000)]
+    bodies = [f"{FILL} {' '.join(long[a : a + n])} {FILL}" for a, n in ((0, 12), (1_500, 13), (2_988, 12), (700, 400), (40, 30))] + [f"{FILL} {' '.join(long[a : a + 11])}" for a in (0, 99)]
+    items = ((1, " ".join(long)), (2, ITEM), (3, OTHER))
+    want = [(i, 1) for i in range(5)]
+    assert find(spark, bodies, items) == want
+    monkeypatch.setattr(fmindex, "ITEM_CHARS", 8_000)
+    assert find(spark, bodies, items) == want
+    one = fmindex.Items.of([(1, " ".join(long))])
+    rows = fmindex.search_shard([np.array([one.vocabulary[x] for x in long[700:1_100]])], one)
+    covered = set().union(*[range(r[2], r[3] + 1) for r in rows])
+    assert covered == set(range(400))
 
 
 def test_nothing_to_search(spark):

@@ -3,9 +3,10 @@
 A shard is a run of documents as word numbers.  Its suffixes are sorted, the Burrows-Wheeler transform goes into a
 wavelet matrix of packed bits, and all seeds (runs of ``SEED`` words of an item) are searched
 backward at once.  Occurrences are located by stepping to sampled suffix positions.  Around each
-occurrence the item is aligned with the document: substitutions on the diagonal first, then, where words
+occurrence the part of the item about the seed is aligned with the document: substitutions on the diagonal first, then, where words
 are missing or extra, a narrow band.  A passage counts from ``PASSAGE`` words on with at most one word in
-``ALTERED`` changed; any such passage holds a seed unchanged, so none is missed.
+``ALTERED`` changed; any such passage holds a seed unchanged, so none is missed.  Passages longer than four times that are met as
+overlapping ones.  What is found is told in characters of the document's own source.
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vecloom.llm.text import words
+from vecloom.llm.text import word_stretches, words
 from vecloom.sources.tables import ship_code
 
 PASSAGE, ALTERED, SEED = 12, 8, 5
@@ -27,10 +29,13 @@ PASSAGE, ALTERED, SEED = 12, 8, 5
 SHARD, SAMPLE = 1_000_000, 16
 #: Symbols that stand for words no item has, used in turn: they match nothing and keep suffixes apart.
 OTHERS = 255
-#: Items searched in one pass over the corpus; a larger set takes several passes.
-ITEMS = 20_000
+#: Characters of items searched in one pass over the corpus (each task holds them); a larger set takes several passes.
+ITEM_CHARS = 64 * 2**20
 _BAND = 3
-FOUND = "doc_id bigint, item_id bigint, first_word int, last_word int, matched int"
+#: The longest passage looked at in one piece, and the words of an item aligned together: such a piece on either side of a seed's place.
+_LONGEST = 4 * PASSAGE
+_PIECE = 3 * _LONGEST
+FOUND = "doc_id bigint, item_id bigint, first_char int, end_char int, matched int"
 
 
 @dataclass
@@ -152,7 +157,8 @@ class Items:
 
     ids: np.ndarray
     vocabulary: dict[str, int]
-    texts: list[np.ndarray]
+    flat: np.ndarray  # all items' words, one after another
+    begin: np.ndarray  # where each item starts in it, and the end
     seeds: np.ndarray
     seed_start: np.ndarray
     seed_item: np.ndarray
@@ -161,28 +167,30 @@ class Items:
     @classmethod
     def of(cls, rows: list[tuple[int, str]]) -> Items:
         vocabulary: dict[str, int] = {}
-        ids, texts, places = [], [], defaultdict(list)
+        ids, texts = [], []
         for item_id, text in rows:
             if item_id is None or not text:
                 continue
-            t = [vocabulary.setdefault(w, len(vocabulary) + OTHERS + 2) for w in words(text)]
-            for j in range(len(t) - SEED + 1):
-                places[tuple(t[j : j + SEED])].append((len(texts), j))
+            texts.append(np.array([vocabulary.setdefault(w, len(vocabulary) + OTHERS + 2) for w in words(text)], np.int64))
             ids.append(item_id)
-            texts.append(np.array(t, np.int64))
-        keys = sorted(places)
-        flat = [p for k in keys for p in places[k]]
-        return cls(
-            np.array(ids, np.int64), vocabulary, texts, np.array(keys, np.int64).reshape(-1, SEED), np.r_[0, np.cumsum([len(places[k]) for k in keys])].astype(np.int64),
-            np.array([p[0] for p in flat], np.int64), np.array([p[1] for p in flat], np.int64),
-        )
+        lengths = np.array([len(t) for t in texts], np.int64)
+        flat = np.concatenate([*texts, np.zeros(0, np.int64)])
+        begin = np.r_[0, np.cumsum(lengths)]
+        if len(flat) < SEED:
+            return cls(np.array(ids, np.int64), vocabulary, flat, begin, np.zeros((0, SEED), np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        every = np.lib.stride_tricks.sliding_window_view(flat, SEED)
+        owner = np.repeat(np.arange(len(ids)), lengths)[: len(every)]
+        inside = np.flatnonzero(np.arange(len(every)) + SEED <= begin[owner + 1])
+        order = inside[np.lexsort(every[inside].T[::-1])]
+        new = np.r_[True, (every[order][1:] != every[order][:-1]).any(1)] if len(order) else np.zeros(0, bool)
+        return cls(np.array(ids, np.int64), vocabulary, flat, begin, every[order[new]], np.r_[np.flatnonzero(new), len(order)], owner[order], order - begin[owner[order]])
 
 
 def _passage(hit: np.ndarray) -> np.ndarray:
     """The words of each row of word-by-word matches that lie in a passage, which begins and ends with a match."""
     edges = np.zeros((len(hit), hit.shape[1] + 1), np.int32)
     total = np.concatenate([np.zeros((len(hit), 1), np.int32), np.cumsum(~hit, axis=1, dtype=np.int32)], axis=1)
-    for n in range(PASSAGE, min(4 * PASSAGE, hit.shape[1]) + 1):
+    for n in range(PASSAGE, min(_LONGEST, hit.shape[1]) + 1):
         few = (total[:, n:] - total[:, :-n]) * ALTERED <= n
         whole = few & hit[:, : hit.shape[1] - n + 1] & hit[:, n - 1 :]
         edges[:, : whole.shape[1]] += whole
@@ -197,7 +205,7 @@ def _banded(item: np.ndarray, doc: np.ndarray, length: np.ndarray) -> list[tuple
     that begins with a match and ends here with ``e`` words altered, as 16 times its item words plus the shift it began at.
     """
     m, size = item.shape
-    shifts, worst = 2 * _BAND + 1, 4 * PASSAGE // ALTERED - 1
+    shifts, worst = 2 * _BAND + 1, _LONGEST // ALTERED - 1
     best = np.zeros((worst + 1, m, shifts), np.int32)
     none, one = np.int32(-(2**30)), np.int32(16)
     best[1:] = none
@@ -240,8 +248,8 @@ def _joined(stretches: list[tuple[int, int, int, int]]) -> list[list[int]]:
     return out
 
 
-def search_shard(docs: list[int], parts: list[np.ndarray], items: Items) -> list[tuple[int, int, int, int, int]]:
-    """(doc_id, item_id, first word, last word, words of the item met there) of every passage in the shard's documents."""
+def search_shard(parts: list[np.ndarray], items: Items) -> list[tuple[int, int, int, int, int]]:
+    """(document's place, item_id, first word, last word, words of the item met there) of every passage in the shard's documents."""
     lengths = np.array([len(p) for p in parts])
     ends = np.cumsum(lengths + 1)
     t = np.concatenate([np.r_[p, 0] for p in parts])
@@ -264,20 +272,23 @@ def search_shard(docs: list[int], parts: list[np.ndarray], items: Items) -> list
     which = np.repeat(np.arange(len(seed)), places)
     slot = np.repeat(items.seed_start[seed], places) + np.arange(len(which)) - np.repeat(np.cumsum(places) - places, places)
     item, start = items.seed_item[slot], at[which] - items.seed_at[slot]
-    cases = np.unique(np.stack([doc[which], item, start], axis=1), axis=0)
-    size = max(len(x) for x in items.texts)
-    bank = np.full((len(items.texts), size), -1, np.int64)
-    for k, x in enumerate(items.texts):
-        bank[k, : len(x)] = x
-    span = np.array([len(x) for x in items.texts])
+    # of an item the piece about the seed: seeds of one diagonal and stretch of the item share it
+    piece = items.seed_at[slot] // _LONGEST
+    cases = np.unique(np.stack([doc[which], item, start, piece], axis=1), axis=0)
+    spans = np.diff(items.begin)
+    size = int(min(_PIECE, spans.max()))
     found = []
     for c in range(0, len(cases), 4096):
-        d, i, s = cases[c : c + 4096].T
+        d, i, s, piece = cases[c : c + 4096].T
+        left = np.maximum(0, np.minimum((piece - 1) * _LONGEST, spans[i] - size))  # the piece's first word in the item
+        s = s + left
         first, end = ends[d] - lengths[d] - 1, ends[d] - 1
         pos = s[:, None] + np.arange(-_BAND, size + _BAND)
         inside = (pos >= first[:, None]) & (pos < end[:, None])
         around = np.where(inside, t[np.clip(pos, 0, len(t) - 1)], -2)
-        goal = bank[i]
+        word = left[:, None] + np.arange(size)
+        span = np.minimum(size, spans[i] - left)
+        goal = np.where(word < spans[i][:, None], items.flat[np.minimum(items.begin[i][:, None] + word, len(items.flat) - 1)], -1)
         hit = (goal == around[:, _BAND : _BAND + size]) & (goal >= 0)
         inside = _passage(hit)
         # words of the item met on some diagonal of the band: too few, and no alignment reaches a passage
@@ -293,52 +304,59 @@ def search_shard(docs: list[int], parts: list[np.ndarray], items: Items) -> list
         # passages of one diagonal too: they may go on beyond a missing or extra word
         maybe = np.flatnonzero(((sums[:, window:] - sums[:, :-window]) >= PASSAGE - 2).any(1))
         if len(maybe):
-            for row, x, z, lo, hi in _banded(goal[maybe], around[maybe], span[i[maybe]]):
+            for row, x, z, lo, hi in _banded(goal[maybe], around[maybe], span[maybe]):
                 stretches[maybe[row]].append((lo, hi, x, z))
         for k in sorted(stretches):
             for lo, hi, x, z in _joined(stretches[k]):
                 begin = int(s[k] - _BAND + lo - first[k])
-                found.append((docs[d[k]], int(items.ids[i[k]]), begin, begin + int(hi - lo), int(near[k, x : z + 1].sum())))
+                found.append((int(d[k]), int(items.ids[i[k]]), begin, begin + int(hi - lo), int(near[k, x : z + 1].sum())))
     return found
 
 
 def _shards(items: Items):
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("first_word", pa.int32()), ("last_word", pa.int32()), ("matched", pa.int32())])
+    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("first_char", pa.int32()), ("end_char", pa.int32()), ("matched", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = items.vocabulary.get
-        docs, parts, held = [], [], 0
+        docs, texts, parts, held = [], [], [], 0
 
         def done() -> Iterator[pa.RecordBatch]:
-            if parts and (rows := search_shard(docs, parts, items)):
+            rows, places = [], {}
+            for k, item, first, last, matched in search_shard(parts, items) if parts else ():
+                if k not in places:  # only documents with a passage are traced back to their source
+                    places[k] = word_stretches(texts[k], items.vocabulary)[1:]
+                rows.append((docs[k], item, places[k][0][first], places[k][1][last], matched))
+            if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-                if doc_id is None or not text.is_valid or len(part := words(text.as_py(), items.vocabulary)) < PASSAGE - 2:
+                if doc_id is None or not text.is_valid or len(part := words(source := text.as_py(), items.vocabulary)) < PASSAGE - 2:
                     continue
                 docs.append(doc_id)
+                texts.append(source)
                 parts.append(np.array([get(w, -1) for w in part], np.int64))
                 held += len(part)
                 if held >= SHARD:
                     yield from done()
-                    docs, parts, held = [], [], 0
+                    docs, texts, parts, held = [], [], [], 0
         yield from done()
 
     return run
 
 
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, first_word, last_word, matched): passages of items in documents, a row for each stretch and diagonal.
+    """(doc_id, item_id, first_char, end_char, matched): passages of items in documents, a row for each stretch and diagonal.
 
-    Null and empty texts, and texts shorter than a passage, hold none; items shorter than one cannot leak.  Whole
-    documents are searched, comments and switched-off blocks too.  The items go to every task in
-    blocks of at most ``ITEMS``; each block is one pass over the corpus.
+    ``first_char`` counts from 0, ``end_char`` is the one after the last, both in ``documents.text`` as it is.  Null and empty
+    texts, and texts shorter than a passage, hold none; items shorter than one cannot leak.  Whole documents are searched,
+    comments and switched-off blocks too.  The items go to every task; those of more than ``ITEM_CHARS`` characters in
+    all are cut by a hash of their id, and each part is one pass over the corpus.
     """
     ship_code(documents.sparkSession)
     lean = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text").distinct()
-    total = lean.count()
-    passes = max(1, -(-total // ITEMS))
+    total = lean.agg(F.coalesce(F.sum(F.length("text").cast("bigint")), F.lit(0))).first()[0]
+    passes = max(1, -(-total // ITEM_CHARS))
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     found = None
     for p in range(passes):
@@ -353,11 +371,9 @@ def leaked_pairs(found: DataFrame) -> DataFrame:
 
 
 def removal_spans(found: DataFrame) -> DataFrame:
-    """(doc_id, first_word, last_word, n_items): what to cut, overlapping and touching regions of a document merged."""
-    from pyspark.sql import Window as W
-
-    order = W.partitionBy("doc_id").orderBy("first_word", "last_word")
-    reach = F.max("last_word").over(order.rowsBetween(W.unboundedPreceding, -1))
-    runs = found.withColumn("_new", F.when(reach.isNull() | (F.col("first_word") > reach + 1), 1).otherwise(0))
+    """(doc_id, first_char, end_char, n_items): what to cut from a document's text, overlapping and touching stretches merged."""
+    order = W.partitionBy("doc_id").orderBy("first_char", "end_char")  # of one document's stretches
+    reach = F.max("end_char").over(order.rowsBetween(W.unboundedPreceding, -1))
+    runs = found.withColumn("_new", F.when(reach.isNull() | (F.col("first_char") > reach), 1).otherwise(0))
     runs = runs.withColumn("_run", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return runs.groupBy("doc_id", "_run").agg(F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"), F.countDistinct("item_id").alias("n_items")).drop("_run")
+    return runs.groupBy("doc_id", "_run").agg(F.min("first_char").alias("first_char"), F.max("end_char").alias("end_char"), F.countDistinct("item_id").alias("n_items")).drop("_run")
