@@ -213,6 +213,11 @@ def int_lists(x: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * d), pa.array(x.astype(np.int32).ravel()))
 
 
+def int64_lists(x: np.ndarray) -> pa.Array:
+    n, d = x.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * d), pa.array(np.ascontiguousarray(x, np.int64).ravel()))
+
+
 def usable_vectors(vectors: DataFrame, d: int) -> DataFrame:
     """(index_id, id, vec) of the rows with an index, an id and a usable vector."""
     sound = F.col("global_id").isNotNull() & F.col("index_id").isNotNull() & usable("vector", d)
