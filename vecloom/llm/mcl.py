@@ -7,8 +7,9 @@
    tell them apart.  They are tied to one of them by a single link each, within their cell already, so the pairs of a
    dense group never leave it.
 3. Flow: a column-stochastic sparse matrix is squared, inflated (entries to a power, columns rescaled) and pruned
-   until it stands still.  A column's strongest row is its attractor; columns with one attractor are a cluster,
-   and the members of strongest flow are its typical ones.
+   until it stands still.  A column's strongest row is its attractor; columns whose attractors lead to one another are a cluster,
+   and the members of strongest flow are its typical ones.  A node that stands for ``w`` vectors has their joint flow; each of them
+   has a ``w``-th of it, and inflation acts on that, so the clusters are those of the graph of all vectors.
 4. Groups in the sense of linked vectors: clusters joined wherever a link crosses their border.
 """
 
@@ -22,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vecloom.operators.coarse import Cells, centroid_rows, lists, matrix, over_cells, usable_vectors
+from vecloom.operators.coarse import Cells, Prepared, centroid_rows, counted, lists, matrix, over_cells, usable_vectors
 from vecloom.llm.rabitq import rotation
 from vecloom.sources.tables import durable, last_checkpoints
 
-#: Rows a cell may state before it is cut into bands along one direction.
+#: Vectors a cell is counted to hold before it is cut into bands along one direction.
 BAND_ROWS = 16_384
 #: Width of a band in radii.
 BAND_WIDTH = 4.0
@@ -56,7 +57,7 @@ def _place(radius: float):
         home = dist.argmin(1)
         along = points @ rotation(points.shape[1])[:, 0] / np.linalg.norm(rotation(points.shape[1])[:, 0])
         width = BAND_WIDTH * radius
-        banded = cells.counts > BAND_ROWS
+        banded = cells.sizes > BAND_ROWS
         bands = lambda cell, at: np.where(banded[cell], np.floor(at / width), 0).astype(np.int32)
         cols = []
         # the next band of the same cell, if a neighbour may lie there
@@ -216,7 +217,7 @@ def _link(d: int, limit: float):
     return run
 
 
-def links(rows: DataFrame, centroids: DataFrame, radius_sq: float = 2.0, d: int = 32) -> DataFrame:
+def links(rows: DataFrame, centroids: DataFrame | Prepared, radius_sq: float = 2.0, d: int = 32) -> DataFrame:
     """(a, b, copy): the links between the vectors of ``rows`` (index_id, id, vec); no index links to another.
 
     ``copy`` 1: b is tied to a, being an exact copy of it or having the same neighbourhood; b's links are a's.  A tie's a may
@@ -247,52 +248,64 @@ def quotient(edges: DataFrame, twin: DataFrame) -> DataFrame:
     return mapped.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct()
 
 
-def markov_flow(edges: DataFrame, weights: DataFrame, inflation: float = 2.0, prune: float = 1e-3, rounds: int = 20, still: float = 1e-3) -> DataFrame:
+def markov_flow(edges: DataFrame, weights: DataFrame, inflation: float = 2.0, prune: float = 1e-3, still: float = 1e-3, most: int = 500) -> DataFrame:
     """The limit (col, row, flow) of expansion, inflation and pruning on links (a, b) with node weights (node, weight).
 
-    A column keeps entries of at least ``prune``, so at most 1/prune of them, and always its greatest.  Each
+    A column keeps entries of at least ``prune``; one that has none keeps its strongest 1/prune, smaller rows first.  Each
     round is one join on the inner index and two aggregations; the matrix is cut from its lineage every round.
-    Stops when in every column the flow is even among the attractors (to within ``still``) or after ``rounds``.
+    Stops when in every column the flow is even among the attractors (to within ``still``), or when a matrix comes again (a flow that
+    swings); RuntimeError if neither happens in ``most`` rounds.
     """
     loops = weights.select(F.col("node").alias("col"), F.col("node").alias("row"))
     entries = edges.select(F.col("a").alias("col"), F.col("b").alias("row")).unionByName(edges.select(F.col("b").alias("col"), F.col("a").alias("row"))).unionByName(loops)
-    weighted = entries.join(weights.withColumnRenamed("node", "row"), "row").select("col", "row", F.col("weight").cast("double").alias("flow"))
+    weighted = entries.join(weights.select(F.col("node").alias("row"), F.col("weight").cast("double").alias("w")), "row").select("col", "row", F.col("w").alias("flow"), "w")
+    column = W.partitionBy("col")
 
     def scaled(m: DataFrame) -> DataFrame:
-        total = W.partitionBy("col")
-        return m.withColumn("flow", F.col("flow") / F.sum("flow").over(total))
+        return m.withColumn("flow", F.col("flow") / F.sum("flow").over(column))
 
     def pruned(m: DataFrame) -> DataFrame:
-        return m.withColumn("_top", F.max("flow").over(W.partitionBy("col"))).where((F.col("flow") >= prune) | (F.col("flow") == F.col("_top"))).drop("_top")
-
-    m = durable(scaled(weighted))
-    for _ in range(rounds):
-        left = m.select(F.col("col").alias("k"), F.col("row"), F.col("flow").alias("f1"))
+        topped = m.withColumn("_top", F.max("flow").over(column))
+        plain = topped.where((F.col("_top") >= prune) & (F.col("flow") >= prune))
+        order = F.row_number().over(column.orderBy(F.desc("flow"), "row"))
+        faint = topped.where(F.col("_top") < prune).withColumn("_r", order).where(F.col("_r") <= int(1 / prune)).drop("_r")
+        return plain.unionByName(faint).drop("_top")
+
+    m, seen = durable(scaled(pruned(scaled(weighted)))), set()
+    for _ in range(most):
+        left = m.select(F.col("col").alias("k"), "row", F.col("flow").alias("f1"), "w")
         right = m.select("col", F.col("row").alias("k"), F.col("flow").alias("f2"))
-        squared = left.join(right, "k").groupBy("col", "row").agg(F.sum(F.col("f1") * F.col("f2")).alias("flow"))
-        inflated = squared.withColumn("flow", F.pow("flow", F.lit(inflation)))
+        squared = left.join(right, "k").groupBy("col", "row").agg(F.sum(F.col("f1") * F.col("f2")).alias("flow"), F.max("w").alias("w"))
+        inflated = squared.withColumn("flow", F.pow("flow", F.lit(inflation)) * F.pow("w", F.lit(1.0 - inflation)))
         m = durable(scaled(pruned(scaled(inflated))))
-        chaos = m.groupBy("col").agg((F.max("flow") - F.sum(F.col("flow") * F.col("flow"))).alias("c")).agg(F.max("c")).first()[0]
-        if chaos is None or chaos < still:
-            break
-    return m
+        mark = F.bit_xor(F.xxhash64("col", "row", F.round("flow", 6))).alias("mark")
+        uneven = m.groupBy("col").agg((F.max("flow") - F.sum(F.col("flow") * F.col("flow"))).alias("c"), F.count("*").alias("n"), mark)
+        chaos, *now = uneven.agg(F.max("c"), F.sum("n"), F.bit_xor("mark")).first()
+        if chaos is None or chaos < still or tuple(now) in seen:
+            return m.select("col", "row", "flow")
+        seen.add(tuple(now))
+    raise RuntimeError(f"the flow did not settle in {most} rounds")
 
 
 def attractors(flow: DataFrame) -> DataFrame:
-    """(node, cluster, strength): each column's strongest row, followed once more if that row has moved on itself.
+    """(node, cluster, strength): each column's strongest row, and the cluster it leads to: columns connected through their strongest rows.
 
-    Among equally strong rows the smallest id wins.
+    Among equally strong rows the smallest id wins.  A cluster is named by its smallest node.
     """
-    best = flow.groupBy("col").agg(F.max(F.struct(F.round("flow", 9).alias("flow"), (-F.col("row")).alias("neg"))).alias("best")).select(F.col("col").alias("node"), (-F.col("best.neg")).alias("row"), F.col("best.flow").alias("strength"))
-    onward = best.select(F.col("node").alias("row"), F.col("row").alias("next"))
-    return best.join(onward, "row", "left").select("node", F.coalesce("next", "row").alias("cluster"), "strength")
+    strongest = F.max(F.struct(F.round("flow", 9).alias("flow"), (-F.col("row")).alias("neg"))).alias("best")
+    best = durable(flow.groupBy("col").agg(strongest).select(F.col("col").alias("node"), (-F.col("best.neg")).alias("row"), F.col("best.flow").alias("strength")))
+    root = joined(best.select(F.col("node").alias("a"), F.col("row").alias("b")))
+    return best.join(root, "node", "left").select("node", F.coalesce("root", "node").alias("cluster"), "strength")
 
 
-def joined(pairs: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, root): the smallest node connected with each node of the links (a, b), by alternating stars."""
+def joined(pairs: DataFrame) -> DataFrame:
+    """(node, root): the smallest node connected with each node of the links (a, b), by alternating stars until nothing changes.
+
+    Nodes without a link to another are in no row.
+    """
     edges = durable(pairs.select("a", "b").where("a <> b").distinct())
     before = None
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -342,9 +355,10 @@ class Clustering:
     def groups(self) -> DataFrame:
         """(group_id, global_id): clusters joined over crossing links; named by their smallest member."""
         root = joined(self.crossing).select(F.col("node").alias("cluster"), "root")
-        placed = self.members.join(root, "cluster", "left").select("global_id", F.coalesce("root", "cluster").alias("root"))
-        named = placed.groupBy("root").agg(F.min("global_id").alias("group_id"))
-        return placed.join(named, "root").select("group_id", "global_id").distinct()
+        least = self.members.groupBy("cluster").agg(F.min("global_id").alias("least"))
+        rooted = durable(least.join(root, "cluster", "left").select("cluster", "least", F.coalesce("root", "cluster").alias("root")))
+        named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("group_id")), "root").select("cluster", "group_id")
+        return self.members.join(named, "cluster").select("group_id", "global_id").distinct()
 
     def described(self, typical: int = 3) -> DataFrame:
         """(cluster_id, size, typical): size counts copies; the typical members are those of strongest flow, smaller ids first."""
@@ -359,5 +373,5 @@ def similar_groups(vectors: DataFrame, checkpoints: DataFrame, clusters: DataFra
 
     Unusable and unlisted vectors, and vectors without a link, are in no cluster.  Repeated rows count once.
     """
-    rows = listed_vectors(vectors, checkpoints, clusters, d)
-    return Clustering(links(rows, centroid_rows(checkpoints, clusters, d), radius_sq, d))
+    cells = counted(usable_vectors(vectors, d), centroid_rows(checkpoints, clusters, d), d)
+    return Clustering(links(listed_vectors(vectors, checkpoints, clusters, d), cells, radius_sq, d))

@@ -1,12 +1,13 @@
 """The most similar vectors of every query by randomly rotated one-bit codes.
 
 Vectors are routed to the nearest centroid of their index's last complete checkpoint, queries to the
-``probes`` nearest ones and on until enough vectors were seen.  Within a block of a cell every vector is one code of ``BITS`` bits: the signs of
-its rotated unit residual, with two scalars (the residual's norm, and how far the code's direction
+``probes`` nearest ones and on until enough vectors were seen; cells are counted, not believed.  Within a block of a cell every vector is one code
+of at least ``BITS`` bits: the signs of its rotated unit residual, with two scalars (the residual's norm, and how far the code's direction
 is from the residual's).  A query is rotated once and quantised to four bits, so inner products come
 from AND and popcount on packed words.  The estimate has an error bound, which gives each vector a lower
 and an upper distance; only vectors whose lower distance does not exceed the k-th smallest upper distance are
-compared exactly.  A block's k best go to one global ranking by (squared distance, id).
+compared exactly.  A block's k best go to one global ranking by (squared distance, id).  Queries left with fewer than k visit
+every cell.
 """
 
 from __future__ import annotations
@@ -21,19 +22,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vecloom.functions.vecmath import usable
-from vecloom.operators.coarse import Cells, centroid_rows, lists, matrix, over_cells, prepare, usable_vectors
+from vecloom.operators.coarse import Cells, centroid_rows, counted, distinct, int64_lists, lists, matrix, over_cells, usable_vectors
+from vecloom.sources.tables import durable, small_enough
 
-#: Bits of a code, a multiple of 64 and at least the dimension; shorter vectors are padded with zeros before rotation.
+#: Bits of a code at least; longer vectors have the next multiple of 64.  Shorter ones are padded with zeros before rotation.
 BITS = 128
 #: Width of the error bound in standard deviations of the estimate.
 EPSILON = 3.0
-#: Vectors a block is meant to hold; a cell stated to be larger is cut into several blocks by a hash of the id.
+#: Vectors a block is meant to hold; a cell counted to be larger is cut into several blocks by a hash of the id.
 BLOCK = 8_192
-#: Queries a block is meant to answer; a cell stated to be larger has copies of its blocks, each for a part of the queries.
+#: Queries a block is meant to answer; a cell of more vectors has copies of its blocks, each for a part of the queries.
 ASKING = 262_144
-#: Blocks of the single cell of an index that has no complete checkpoint.
-WHOLE_BLOCKS = 16
-#: Cells a query visits at least; it goes on to further cells until those before state ``SEEN`` vectors.
+#: Cells a query visits at least; it goes on to further cells until those before hold ``SEEN`` vectors.
 PROBES = 8
 SEEN = 4_096
 _PAIRS = 4_000_000
@@ -41,9 +41,14 @@ _PAIRS = 4_000_000
 CODED = "index_id int, cluster int, salt int, side int, id bigint, vec array<float>"
 
 
+def bits_of(d: int) -> int:
+    return max(BITS, -(-d // 64) * 64)
+
+
 @lru_cache(maxsize=4)
-def rotation(d: int, bits: int = BITS, seed: int = 20_240_527) -> np.ndarray:
-    """The first ``d`` rows of a random orthonormal ``bits`` x ``bits`` matrix; the same on every worker."""
+def rotation(d: int, seed: int = 20_240_527) -> np.ndarray:
+    """The first ``d`` rows of a random orthonormal matrix of the code's length; the same on every worker."""
+    bits = bits_of(d)
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((bits, bits)))
     return (q * np.sign(np.diag(r)))[:d]
 
@@ -54,12 +59,12 @@ def encode(x: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     norms = np.sqrt((residual * residual).sum(1))
     turned = (residual / np.where(norms > 0, norms, 1.0)[:, None]) @ rotation(x.shape[1])
     codes = np.packbits(turned > 0, axis=1, bitorder="little").view(np.uint64)
-    return codes, norms, np.abs(turned).sum(1) / np.sqrt(BITS)
+    return codes, norms, np.abs(turned).sum(1) / np.sqrt(turned.shape[1])
 
 
 def bounds(codes: np.ndarray, norms: np.ndarray, align: np.ndarray, queries: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lower and upper squared distances (queries x vectors) from the codes alone."""
-    residual = queries - centre
+    residual, bits = queries - centre, bits_of(queries.shape[1])
     q_norm = np.sqrt((residual * residual).sum(1))
     turned = (residual / np.where(q_norm > 0, q_norm, 1.0)[:, None]) @ rotation(queries.shape[1])
     low = turned.min(1)
@@ -72,10 +77,10 @@ def bounds(codes: np.ndarray, norms: np.ndarray, align: np.ndarray, queries: np.
         for j, plane in enumerate(planes):
             weighted += np.bitwise_count(codes[:, w][None] & plane[:, w][:, None]) * np.float32(1 << j)
     on_ones = step[:, None] * weighted + low[:, None] * ones
-    inner = (2.0 * on_ones - (step * levels.sum(1) + low * BITS)[:, None]) / np.sqrt(BITS)
+    inner = (2.0 * on_ones - (step * levels.sum(1) + low * bits)[:, None]) / np.sqrt(bits)
     safe = np.where(align > 0, align, 1.0)
     cosine = inner / safe
-    slack = EPSILON * (np.sqrt(np.maximum(0.0, 1.0 - safe * safe)) / np.sqrt(BITS - 1) + step[:, None] / np.sqrt(12.0)) / safe
+    slack = EPSILON * (np.sqrt(np.maximum(0.0, 1.0 - safe * safe)) / np.sqrt(bits - 1) + step[:, None] / np.sqrt(12.0)) / safe
     base = norms * norms + (q_norm * q_norm)[:, None]
     scale = 2.0 * norms * q_norm[:, None]
     return base - scale * np.minimum(cosine + slack, 1.0), base - scale * np.maximum(cosine - slack, -1.0)
@@ -105,14 +110,6 @@ def search_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray
     return *(np.concatenate(c) for c in zip(*found)), compared
 
 
-def _distinct(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whole rows repeated count once.  An id with two usable vectors keeps both; the nearer one counts later."""
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order]
-    fresh = np.r_[True, (ids[1:] != ids[:-1]) | (x[1:] != x[:-1]).any(1)]
-    return ids[fresh], x[fresh]
-
-
 def _search(d: int, k: int):
     schema = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("sq_dist", pa.float64())])
 
@@ -133,7 +130,10 @@ def _search(d: int, k: int):
                     ids.append(who[a:split])
                     vectors.append(x[a:split])
                 if split < z and ids:
-                    ready = ready or _distinct(np.concatenate(ids), np.concatenate(vectors).astype(np.float64))
+                    if ready is None:
+                        every, points = np.concatenate(ids), np.concatenate(vectors)
+                        own = distinct(every, points)  # an id with several usable vectors keeps each; the nearest counts later
+                        ready = every[own], points[own].astype(np.float64)
                     out.append(search_block(*ready, who[split:z], x[split:z].astype(np.float64), k)[:3])
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t.type) for c, t in zip(zip(*out), schema)], schema=schema)
@@ -142,15 +142,13 @@ def _search(d: int, k: int):
 
 
 def _blocks(cells: Cells) -> np.ndarray:
-    """Blocks of each cell, from the sizes the checkpoint states; they only balance the work."""
-    if cells.clusters[0] == -1:
-        return np.array([WHOLE_BLOCKS])
-    return np.maximum(1, -(-cells.counts // BLOCK))
+    """Blocks of each cell, from the counted sizes."""
+    return np.maximum(1, -(-cells.sizes // BLOCK))
 
 
 def _parts(cells: Cells) -> np.ndarray:
-    """Copies of each block, by the sizes stated: where many vectors are, many queries go."""
-    return np.maximum(1, -(-cells.counts // ASKING))
+    """Copies of each block: where many vectors are, many queries go."""
+    return np.maximum(1, -(-cells.sizes // ASKING))
 
 
 def _mixed(ids: np.ndarray, shift: int) -> np.ndarray:
@@ -167,11 +165,13 @@ def _place(cells: Cells, index: int, ids: np.ndarray, x: np.ndarray) -> list:
     return [np.full(n, index, np.int32), cells.clusters[home[who]], salt.astype(np.int32), np.zeros(n, np.int32), ids[who], lists(x[who])]
 
 
-def _route(probes: int):
+def _route(probes: int | None):
+    """Queries to the cells they visit; to every cell without ``probes``."""
+
     def visit(cells: Cells, index: int, ids: np.ndarray, x: np.ndarray) -> list:
         near = np.argsort(cells.distances(x.astype(np.float64)), axis=1, kind="stable")
-        stated = cells.counts[near]
-        visited = (np.cumsum(stated, axis=1) - stated < SEEN) | (np.arange(near.shape[1]) < probes)
+        held = cells.sizes[near]
+        visited = (np.cumsum(held, axis=1) - held < SEEN) | (np.arange(near.shape[1]) < (probes or near.shape[1]))
         who, rank = np.nonzero(visited)
         cell = near[who, rank]
         blocks = _blocks(cells)[cell]
@@ -189,18 +189,33 @@ def most_similar(vectors: DataFrame, queries: DataFrame, checkpoints: DataFrame,
     """(qid, global_id, sq_dist, rank): the k most similar usable vectors of each query's index.
 
     ``queries`` has (index_id, id, vec) with usable vectors.  Ranked by (squared distance, id); an id counts
-    once.  Fewer than k rows come out only if the probed cells hold fewer; an index without vectors
-    gives none.  Null, short, long and NaN vectors are never found; all-zero vectors are ordinary.
+    once.  Fewer than k rows come out only if the index has fewer ids; an index without vectors
+    gives none.  Null, short, long and NaN vectors are never found; all-zero vectors are ordinary.  For
+    answers that must be exact use ``operators.exact``.
     """
-    centroids = prepare(centroid_rows(checkpoints, clusters, d), d)
-    placed = over_cells(usable_vectors(vectors, d), centroids, d, _place, CODED)
-    routed = over_cells(queries, centroids, d, _route(probes), CODED)
-    met = placed.unionByName(routed).repartition("index_id", "cluster", "salt").sortWithinPartitions("index_id", "cluster", "salt", "side")
-    best = met.mapInArrow(_search(d, k), "qid bigint, id bigint, sq_dist double")
-    # an id stands in one cell, unless it has several usable vectors
-    once = best.groupBy("qid", "id").agg(F.min("sq_dist").alias("sq_dist"))
-    ranked = once.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("sq_dist", "id")))
-    return ranked.where(F.col("rank") <= k).select("qid", F.col("id").alias("global_id"), "sq_dist", "rank")
+    stored = usable_vectors(vectors, d)
+    cells = counted(stored, centroid_rows(checkpoints, clusters, d), d)
+
+    def ranked(rows: DataFrame, asking: DataFrame, cells_each: int | None) -> DataFrame:
+        placed = over_cells(rows, cells, d, _place, CODED)
+        routed = over_cells(asking, cells, d, _route(cells_each), CODED)
+        met = placed.unionByName(routed).repartition("index_id", "cluster", "salt").sortWithinPartitions("index_id", "cluster", "salt", "side")
+        best = met.mapInArrow(_search(d, k), "qid bigint, id bigint, sq_dist double")
+        # an id stands in one cell, unless it has several usable vectors
+        once = best.groupBy("qid", "id").agg(F.min("sq_dist").alias("sq_dist"))
+        order = F.row_number().over(W.partitionBy("qid").orderBy("sq_dist", "id"))
+        return once.withColumn("rank", order).where(F.col("rank") <= k).select("qid", F.col("id").alias("global_id"), "sq_dist", "rank")
+
+    found = durable(ranked(stored, queries, probes))
+    full = found.where(F.col("rank") == k).select(F.col("qid").alias("id"))
+    short = durable(queries.join(full, "id", "left_anti").select("index_id", "id", "vec"))
+    concerned = short.select("index_id").distinct()
+    if not short.limit(1).count():
+        return found
+    if small_enough(concerned, 16, 2**20):
+        concerned = F.broadcast(concerned)
+    again = ranked(stored.join(concerned, "index_id", "left_semi"), short, None)
+    return found.join(full.withColumnRenamed("id", "qid"), "qid", "left_semi").unionByName(again)
 
 
 def asked(queries: DataFrame, d: int = 32) -> DataFrame:
@@ -210,17 +225,16 @@ def asked(queries: DataFrame, d: int = 32) -> DataFrame:
 
 
 def codes_table(vectors: DataFrame, checkpoints: DataFrame, clusters: DataFrame, d: int = 32) -> DataFrame:
-    """(index_id, global_id, cluster, code, norm, align): every usable vector's code relative to its cell's centroid."""
+    """(index_id, global_id, cluster, code, norm, align): every usable vector's code, in words of 64 bits, relative to its cell's centroid."""
 
     def visit(cells: Cells, index: int, ids: np.ndarray, x: np.ndarray) -> list:
         x = x.astype(np.float64)
         home = cells.distances(x).argmin(1)
-        codes, norms, align = np.zeros((len(x), BITS // 64), np.uint64), np.zeros(len(x)), np.zeros(len(x))
+        codes, norms, align = np.zeros((len(x), bits_of(d) // 64), np.uint64), np.zeros(len(x)), np.zeros(len(x))
         for c in np.unique(home):
             at = home == c
             codes[at], norms[at], align[at] = encode(x[at], cells.centroids[c])
-        words = codes.view(np.int64)
-        return [np.full(len(ids), index, np.int32), ids, cells.clusters[home], words[:, 0].copy(), words[:, 1].copy(), norms, align]
+        return [np.full(len(ids), index, np.int32), ids, cells.clusters[home], int64_lists(codes.view(np.int64)), norms, align]
 
-    schema = "index_id int, global_id bigint, cluster int, code0 bigint, code1 bigint, norm double, align double"
+    schema = "index_id int, global_id bigint, cluster int, code array<bigint>, norm double, align double"
     return over_cells(usable_vectors(vectors, d), centroid_rows(checkpoints, clusters, d), d, visit, schema).distinct()
