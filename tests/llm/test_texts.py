@@ -273,7 +273,7 @@ def test_classifier_learns_from_noisy_votes():
     rows = []
     for body, bad in corpus(360, 1):
         votes = [bad != (rng.random() < 0.1) for _ in range(rng.randrange(1, 4))]
-        rows.append((body, "en", sum(votes), len(votes) - sum(votes)))
+        rows.append((cnn.hashed([body])[0], "en", sum(votes), len(votes) - sum(votes)))
     net = cnn.fit(rows, updates=150)
     held = corpus(200, 2)
     guess = net.scores(cnn.hashed([b for b, _ in held])) > net.thresholds.get("en", net.thresholds[""])
@@ -292,13 +292,28 @@ def test_scores_of_odd_texts_and_rates(spark):
     got = {r["doc_id"]: r for r in scores.collect()}
     assert len(got) == 64 and all(0 <= r["score"] <= 1 for r in got.values())
     assert not any(got[i]["abusive"] for i in (100, 101, 102)) and {r["language"] for r in got.values()} == {"en", "de", "other"}
+    assert {r["threshold"] for r in got.values()} <= {"en", "de", "all"} and got[102]["language"] == "en" and got[101]["threshold"] == "all"
     by = {r["source"]: r["documents"] for r in cnn.rates(scores).collect()}
     assert by["a_x"] == 41 and by[None] == 22 and by["b"] == 1
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    """A text scored in pieces, and many in portions, score as they do at once."""
+    net = cnn.train([np.arange(1, 40), np.arange(40, 90)] * 3, np.array([1, 0] * 3, np.float32), updates=5)
+    g = np.random.default_rng(0)
+    docs = [g.integers(1, 100, n) for n in (0, 1, 3, 7, 50, 64, 65, 129, 300, 5)]
+    once = net.scores(docs)
+    for words in (7, 64, 100):
+        monkeypatch.setattr(cnn, "WORDS", words)
+        assert np.allclose(net.scores(docs), once, atol=1e-5)
+
+
 def test_no_labels(spark):
     frame = docs(spark, [(1, "some words", "en", "s")])
     empty = spark.createDataFrame([], "doc_id bigint, rater string, abusive int, category string")
-    assert cnn.scored(frame, cnn.fit_reviewed(frame, empty)).where("abusive").count() == 0
+    few = spark.createDataFrame([(1, "r", 1, None)], "doc_id bigint, rater string, abusive int, category string")
+    for labels in (empty, few):
+        rows = cnn.scored(frame, cnn.fit_reviewed(frame, labels)).collect()
+        assert [(r["abusive"], r["threshold"]) for r in rows] == [(False, "none")]
     assert cnn.scored(frame.limit(0), cnn.fit_reviewed(frame, empty)).count() == 0
     assert datetime.now(UTC)

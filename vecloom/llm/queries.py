@@ -76,7 +76,7 @@ def p8_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p8_scores(spark: SparkSession, base: str) -> DataFrame:
-    return _scores(spark, base).select("doc_id", "language", "score", "abusive")
+    return _scores(spark, base).select("doc_id", "language", "score", "abusive", "threshold")
 
 
 def p8_rates(spark: SparkSession, base: str) -> DataFrame:
