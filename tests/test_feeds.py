@@ -91,6 +91,33 @@ def test_flags_match_membership(spark, there, done):
         intervals.BLOCK = old
 
 
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 1), st.integers(0, 90), st.integers(0, 40)), max_size=12), st.lists(st.tuples(st.integers(0, 1), st.integers(0, 90), st.integers(0, 40)), max_size=12))
+def test_ledger_arithmetic_over_blocks(spark, have, done):
+    """Merging and subtracting intervals that reach over many blocks is merging and subtracting sets."""
+    old, intervals.BLOCK = intervals.BLOCK, 7
+    try:
+        frame = lambda rows: spark.createDataFrame([(k, lo, lo + n) for k, lo, n in rows], "key bigint, lo bigint, hi bigint")
+        numbers = lambda rows: {(k, i) for k, lo, n in rows for i in range(lo, lo + n + 1)}
+        for got, want in ((intervals.merge(frame(have)), numbers(have)), (intervals.subtract(frame(have), frame(done)), numbers(have) - numbers(done))):
+            rows = [tuple(r) for r in got.collect()]
+            assert sorted((k, i) for k, lo, hi in rows for i in range(lo, hi + 1)) == sorted(want)
+            assert all((k, hi + 1) not in want for k, _, hi in rows)  # none touches another
+    finally:
+        intervals.BLOCK = old
+
+
+def test_a_million_intervals_of_one_key(spark):
+    """Every second number is done: no task holds a key, and the answer is exact."""
+    n = 1_000_000
+    rows = spark.range(2 * n, numPartitions=8).selectExpr("1L as key", "id as seq", "id % 2 = 0 as done")
+    ledger = intervals.islands(rows, "done")
+    gaps = intervals.subtract(rows.groupBy("key").agg({"seq": "min"}).selectExpr("key", "0L as lo", f"{2 * n - 1}L as hi"), ledger)
+    assert tuple(gaps.selectExpr("count(*)", "sum(hi - lo)", "min(lo)", "max(hi)", "sum(lo % 2)").first()) == (n, 0, 1, 2 * n - 1, n)
+    wide = intervals.merge(ledger.unionByName(gaps)).collect()
+    assert [tuple(r) for r in wide] == [(1, 0, 2 * n - 1)]
+
+
 def test_ledger_neither_skips_nor_repeats(spark, tmp_path):
     book = intervals.Ledger(spark, str(tmp_path / "ledger"))
     source = lambda seqs: spark.createDataFrame([(k, s, f"{k}-{s}") for k, s in seqs], "key bigint, seq bigint, body string")

@@ -39,7 +39,7 @@ def available_intervals(feed: DataFrame) -> DataFrame:
 
 def gaps(feed: DataFrame, checkpoints: DataFrame) -> DataFrame:
     """(index_id, lo, hi): the intervals a run has to process."""
-    return subtract(available_intervals(feed), held_intervals(feed, checkpoints), "index_id")
+    return subtract(available_intervals(feed), held_intervals(feed, checkpoints), "index_id", disjoint=True)
 
 
 def new_changes(feed: DataFrame, checkpoints: DataFrame) -> DataFrame:

@@ -3,7 +3,8 @@
 A ledger row (key, lo, hi) says that every number of ``key`` present between lo and hi was processed.
 A run subtracts the ledger from what is available, processes the gaps — late commits fall into gaps
 like new rows do — and commits its output together with the merged ledger.  Every step works on
-blocks of ``BLOCK`` sequence numbers, so a key with a third of all rows is spread over many tasks.
+blocks of ``BLOCK`` sequence numbers, so a key with a third of all rows, or of all intervals, is spread over many tasks; what
+one block has to know of those before it comes from a table with one row per key and block.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vecloom.sources.tables import durable
+
 #: Sequence numbers in one block; bounds the rows of a window partition.
 BLOCK = 65_536
 
@@ -23,56 +26,82 @@ def _block(c: str) -> F.Column:
     return F.floor(F.col(c) / BLOCK).cast("bigint")
 
 
-def merge(intervals: DataFrame, key: str = "key") -> DataFrame:
-    """The disjoint, sorted union of (key, lo, hi); intervals that overlap or touch (hi + 1 = lo) join.
+def _carried(rows: DataFrame, key: str, value: F.Column, how, name: str) -> DataFrame:
+    """``rows`` (with ``_block``) and ``name``: ``how`` of ``value`` over all earlier blocks of the key; null in the first block.
 
-    Null bounds and empty intervals (hi < lo) are dropped.  Merges within blocks first, so the second
-    pass sees only what is left of each block.
+    Aggregated per block first (partially before the shuffle), then over one row per block.  ``rows`` are computed twice: callers keep
+    what they come from in the shared folder.
     """
+    tops = rows.groupBy(key, "_block").agg(how(value).alias("_top"))
+    before = how("_top").over(W.partitionBy(key).orderBy("_block").rowsBetween(W.unboundedPreceding, -1))
+    return rows.join(tops.select(key, "_block", before.alias(name)), [key, "_block"])
 
-    def pass_over(df: DataFrame, *by: str) -> DataFrame:
-        order = W.partitionBy(*by).orderBy("lo", "hi")
-        reach = F.max("hi").over(order.rowsBetween(W.unboundedPreceding, -1))
-        starts = F.when(reach.isNull() | (F.col("lo") > reach + 1), 1).otherwise(0)
-        runs = df.withColumn("_start", starts).withColumn("_run", F.sum("_start").over(order.rowsBetween(W.unboundedPreceding, 0)))
-        return runs.groupBy(*by, "_run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_run")
 
-    sound = intervals.select(key, "lo", "hi").where("lo is not null and hi is not null and hi >= lo")
-    local = pass_over(sound.withColumn("_block", _block("lo")), key, "_block")
-    return pass_over(local.drop("_block"), key).select(key, "lo", "hi")
+def _runs(rows: DataFrame, key: str) -> DataFrame:
+    """(key, _start, lo, hi, ...) of rows (key, _block, lo, hi, _opens): each row with the ``lo`` of the last row that opens a run."""
+    inner = W.partitionBy(key, "_block").orderBy("lo", "hi").rowsBetween(W.unboundedPreceding, 0)
+    opened = F.when(F.col("_opens"), F.col("lo"))
+    known = _carried(rows, key, opened, F.max, "_earlier")
+    return known.withColumn("_start", F.coalesce(F.max(opened).over(inner), F.col("_earlier")))
+
+
+def merge(intervals: DataFrame, key: str = "key") -> DataFrame:
+    """The disjoint, sorted union of (key, lo, hi); intervals that overlap or touch (hi + 1 = lo) join.
+
+    Null keys, null bounds and empty intervals (hi < lo) are dropped.  An interval lies in the block it begins in, however far it reaches.
+    """
+    sound = intervals.select(key, "lo", "hi").where(F.col(key).isNotNull() & F.col("lo").isNotNull() & (F.col("hi") >= F.col("lo")))
+    placed = _carried(durable(sound.withColumn("_block", _block("lo"))), key, F.col("hi"), F.max, "_reached")
+    inner = W.partitionBy(key, "_block").orderBy("lo", "hi").rowsBetween(W.unboundedPreceding, -1)
+    reach = F.greatest(F.max("hi").over(inner), F.col("_reached"))  # nulls don't count
+    opens = placed.select(key, "_block", "lo", "hi", F.coalesce(F.col("lo") > reach + 1, F.lit(True)).alias("_opens"))
+    return _runs(opens, key).groupBy(key, "_start").agg(F.max("hi").alias("hi")).select(key, F.col("_start").alias("lo"), "hi")
 
 
 def islands(rows: DataFrame, flag: str, key: str = "key", seq: str = "seq") -> DataFrame:
     """(key, lo, hi) of the maximal runs of flagged rows, neighbours being rows next to each other in ``seq``.
 
-    Numbers that a key doesn't have (they belong to other keys) don't break a run.  Runs are found
-    within blocks and stitched at block borders, from one row per run.
+    Numbers that a key doesn't have (they belong to other keys) don't break a run.  Rows without key or number are in no run.  Runs are
+    found within blocks, and stitched where the last row of the block before is flagged alike.
     """
-    base = rows.select(F.col(key), F.col(seq).alias("_seq"), F.col(flag).cast("int").alias("_flag")).where(F.col(seq).isNotNull())
+    base = rows.select(F.col(key), F.col(seq).alias("_seq"), F.col(flag).cast("int").alias("_flag")).where(F.col(seq).isNotNull() & F.col(key).isNotNull())
     base = base.withColumn("_block", _block("_seq"))
     inner = W.partitionBy(key, "_block").orderBy("_seq")
     changed = F.when(F.lag("_flag").over(inner) == F.col("_flag"), 0).otherwise(1)
     runs = base.withColumn("_new", changed).withColumn("_run", F.sum("_new").over(inner.rowsBetween(W.unboundedPreceding, 0)))
-    local = runs.groupBy(key, "_block", "_run", "_flag").agg(F.min("_seq").alias("lo"), F.max("_seq").alias("hi"))
-    outer = W.partitionBy(key).orderBy("lo")
-    again = F.when(F.lag("_flag").over(outer) == F.col("_flag"), 0).otherwise(1)
-    joined = local.withColumn("_new", again).withColumn("_group", F.sum("_new").over(outer.rowsBetween(W.unboundedPreceding, 0)))
-    whole = joined.groupBy(key, "_group", "_flag").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    return whole.where("_flag = 1").select(key, "lo", "hi")
+    local = durable(runs.groupBy(key, "_block", "_run", "_flag").agg(F.min("_seq").alias("lo"), F.max("_seq").alias("hi")))
+    last = F.struct("lo", "_flag")  # of the latest run in the blocks before
+    known = _carried(local, key, last, F.max, "_before")
+    follows = (F.col("_run") == 1) & (F.col("_before._flag") == F.col("_flag"))
+    opens = known.where("_flag = 1").select(key, "_block", "lo", "hi", (~F.coalesce(follows, F.lit(False))).alias("_opens"))
+    return _runs(opens, key).groupBy(key, "_start").agg(F.max("hi").alias("hi")).select(key, F.col("_start").alias("lo"), "hi")
 
 
-def subtract(available: DataFrame, done: DataFrame, key: str = "key") -> DataFrame:
-    """(key, lo, hi): the parts of ``available`` that ``done`` doesn't cover; both are merged first."""
+def subtract(available: DataFrame, done: DataFrame, key: str = "key", disjoint: bool = False) -> DataFrame:
+    """(key, lo, hi): the parts of ``available`` that ``done`` doesn't cover, none touching another.
+
+    Both are merged first, unless they are known to be ``disjoint`` and without touching neighbours, as ``merge`` and ``islands`` give them.
+    """
 
     def edges(df: DataFrame, a: int, b: int) -> DataFrame:
-        merged = merge(df, key)
-        return merged.select(key, F.explode(F.array(F.struct(F.col("lo").alias("at"), F.lit(a).alias("a"), F.lit(b).alias("b")), F.struct((F.col("hi") + 1).alias("at"), F.lit(-a).alias("a"), F.lit(-b).alias("b")))).alias("e")).select(key, "e.*")
+        ends = [F.struct(at.alias("at"), F.lit(a * sign).alias("a"), F.lit(b * sign).alias("b")) for at, sign in ((F.col("lo"), 1), (F.col("hi") + 1, -1))]
+        return (df if disjoint else merge(df, key)).select(key, F.explode(F.array(*ends)).alias("e")).select(key, "e.*")
 
     points = edges(available, 1, 0).unionByName(edges(done, 0, 1)).groupBy(key, "at").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    order = W.partitionBy(key).orderBy("at")
+    points = durable(points.where("a <> 0 or b <> 0").withColumn("_block", _block("at")))
+    # per block what is open before it, and where the next block's first edge lies
+    sums = points.groupBy(key, "_block").agg(F.sum("a").alias("_a"), F.sum("b").alias("_b"), F.min("at").alias("_at"))
+    every = W.partitionBy(key).orderBy("_block")
+    before = every.rowsBetween(W.unboundedPreceding, -1)
+    table = sums.select(key, "_block", F.coalesce(F.sum("_a").over(before), F.lit(0)).alias("_a"), F.coalesce(F.sum("_b").over(before), F.lit(0)).alias("_b"), F.lead("_at").over(every).alias("_next"))
+    order = W.partitionBy(key, "_block").orderBy("at")
     upto = order.rowsBetween(W.unboundedPreceding, 0)
-    swept = points.select(key, F.col("at").alias("lo"), (F.lead("at").over(order) - 1).alias("hi"), F.sum("a").over(upto).alias("open"), F.sum("b").over(upto).alias("shut"))
-    return merge(swept.where("open > 0 and shut = 0 and hi is not null"), key)
+    swept = points.join(table, [key, "_block"]).select(
+        key, F.col("at").alias("lo"), (F.coalesce(F.lead("at").over(order), F.col("_next")) - 1).alias("hi"),
+        (F.sum("a").over(upto) + F.col("_a")).alias("open"), (F.sum("b").over(upto) + F.col("_b")).alias("shut"),
+    )
+    # every edge changes what is open or shut, so no two gaps touch
+    return swept.where("open > 0 and shut = 0 and hi is not null").select(key, "lo", "hi")
 
 
 def flag_inside(rows: DataFrame, intervals: DataFrame, name: str, key: str = "key", seq: str = "seq") -> DataFrame:

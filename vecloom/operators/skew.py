@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vecloom.sources.tables import ship_code, slices
+from vecloom.sources.tables import durable, ship_code, slices
 
 #: Keys and the secondary order are 64-bit integers; a missing secondary value sorts first and counts as none.
 STATE = "part int, key1 bigint, key2 bigint, n_rows bigint, n_distinct bigint, first bigint, last bigint, widest bigint"
@@ -113,7 +113,7 @@ def count_mismatches(cone_entries: DataFrame, clusters: DataFrame) -> DataFrame:
     Considers the checkpoints that have entries; a cluster without entries has 0 members.  Repeated and
     contradictory rows of a cluster count as one case if any of them differs; a null count differs from nothing.
     """
-    counts = member_counts(cone_entries)
+    counts = durable(member_counts(cone_entries))  # a row per cluster, used twice
     described = clusters.where(F.col("cluster").isNotNull()).select("checkpoint_id", F.col("cluster").cast("bigint").alias("cluster_"), "n_c", "cluster_counts")
     known = counts.select("checkpoint_id").distinct()
     found = counts.select("checkpoint_id", F.col("cluster").alias("cluster_"), "members")
