@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from vecloom.sources.store import Collection
+from vecloom.sources.store import Collection, Numbered
 from vecloom.streaming import drift
 
 D = 4
@@ -36,6 +37,39 @@ def test_snapshot_and_replay(spark, tmp_path):
     assert set(r[0] for r in again.live().collect()) == set(live)
 
 
+def test_writers_meet_and_deaths(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "c")
+    one, two = (Collection(spark, folder, D) for _ in range(2))
+    one.add(frame(spark, [(1, [1.0] * D)]))
+    # both see the same log; the second finds the number taken and goes on
+    numbers = Numbered.numbers
+    monkeypatch.setattr(Numbered, "numbers", lambda self: [1] if self.folder.endswith("log") else numbers(self))
+    one.add(frame(spark, [(2, [2.0] * D), (1, [5.0] * D)]))
+    two.add(frame(spark, [(3, [3.0] * D), (1, [4.0] * D)]))
+    monkeypatch.undo()
+    assert one._log.numbers() == [1, 2, 3]
+    assert {r[0]: r[1][0] for r in two.live().collect()} == {1: 4.0, 2: 2.0, 3: 3.0}  # the later batch holds
+    # a segment without a commit is nothing
+    frame(spark, [(9, [9.0] * D)]).select(F.lit("insert").alias("op"), "global_id", "vector").write.parquet(f"{folder}/segments/lost")
+    one.snapshot()
+    # a truncation that dies halfway loses nothing
+    monkeypatch.setattr(Numbered, "remove", lambda self, at: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        one.truncate_log()
+    monkeypatch.undo()
+    one.delete(frame(spark, [(3, None)]).select("global_id"))
+    one.truncate_log()
+    again = Collection(spark, folder, D)
+    assert {r[0] for r in again.live().collect()} == {1, 2} and again.log().count() == 1
+    with pytest.raises(ValueError, match="elements"):
+        Collection(spark, folder, D + 1)
+    with pytest.raises(ValueError, match="cosine"):
+        Collection(spark, folder, D, "cosine")
+    spark.read.parquet(again.newest()["data"]).limit(1).write.mode("append").parquet(again.newest()["data"])
+    with pytest.raises(ValueError, match="rows"):
+        Collection(spark, folder, D)
+
+
 AXES = [(i, np.eye(D)[i].tolist()) for i in range(2)]
 
 

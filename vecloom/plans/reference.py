@@ -12,7 +12,7 @@ from vecloom.functions import vecmath as V
 from vecloom.operators import coarse, cones, evaluate, exact, fold, maintain, projection, search, tuner
 from vecloom.operators.positions import running
 from vecloom.plans.sql import D, D_EMB, dot, query, sq, unit, usable
-from vecloom.sources.tables import durable, read
+from vecloom.sources.tables import durable, read, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -699,22 +699,13 @@ def running_centroid(spark, base):
     return maintain.running_mean(first, homes(spark, base).join(later, "id").select("index_id", "cluster", "vec"), ["index_id", "cluster"])
 
 
-def _shared(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the cluster's shared checkpoint folder."""
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vecloom-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @register("SELECT vec_id AS global_id, CASE WHEN label = 7 THEN list_transform(embedding, lambda x: (-x)::FLOAT) ELSE embedding END AS vector FROM embeddings WHERE label <> 3")
 def snapshot_roundtrip(spark, base):
     """All embeddings added, one label deleted, a snapshot, the log truncated, one label's vectors negated: what a restart sees."""
     from vecloom.sources.store import Collection
 
     rows = read(spark, base, "embeddings").select(F.col("vec_id").alias("global_id"), F.col("embedding").alias("vector"), "label")
-    kept = Collection(spark, _shared(spark, "collection"), D_EMB)
+    kept = Collection(spark, shared_folder(spark, "collection"), D_EMB)
     kept.add(rows.select("global_id", "vector"))
     kept.delete(rows.where("label = 3").select("global_id"))
     kept.snapshot()
@@ -729,7 +720,7 @@ def stream_mutations(spark, base):
     from vecloom.streaming import feed as streamed
 
     rows = read(spark, base, "mutations")
-    folder = _shared(spark, "feed")
+    folder = shared_folder(spark, "feed")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{base}/mutations.parquet*")
     streamed.fold_stream(stream, folder)
     return streamed.states(spark, folder).select("global_id", "kind", "seq")

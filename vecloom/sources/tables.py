@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -28,15 +29,31 @@ def read(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the cluster's shared checkpoint folder.
+def shared_root(spark: SparkSession) -> str:
+    """The cluster's shared folder, ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` names that folder; only where it is unset (tests on one machine) is a
-    folder of our own chosen.  The files are reliable: a lost executor does not lose them.
+    Only a session on one machine may lack it, as in tests: it then gets a folder of its own.  A cluster without it raises RuntimeError.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="vecloom-checkpoint-"))
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="vecloom-checkpoint-")
+    spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder there."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared folder.  The files are reliable: a lost executor does not lose them."""
+    root = shared_root(df.sparkSession)
+    if not df.sparkSession.sparkContext.getCheckpointDir():
+        df.sparkSession.sparkContext.setCheckpointDir(root)
     return df.checkpoint(eager=True)
 
 
