@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vecloom.sources.store import Collection, Numbered
+from vecloom.operators import coarse, cones
 from vecloom.streaming import drift
 
 D = 4
@@ -90,6 +91,29 @@ def test_drift_alarm(spark):
     assert drift.drift_states(moves(spark).limit(0), AXES).count() == 0
 
 
+def test_drift_in_chunks_is_drift_in_order(spark):
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((50, D)) + np.eye(D)[2] * 2
+    frame_ = spark.createDataFrame([(0, 7, i, x.tolist()) for i, x in enumerate(v)], "index_id int, cluster int, seq bigint, v array<double>")
+    u = None
+    for a in range(0, 50, 8):
+        u = drift._advance(u, v[a : a + 8], 2)
+    whole = drift.drift_states(frame_, AXES, chunk=8).first()
+    assert np.allclose(np.array(whole["u"]).reshape(D, 2), u) and whole["n"] == 50
+    half = drift.drift_states(frame_.where("seq < 24"), AXES, chunk=8)
+    assert np.allclose(drift.drift_states(frame_.where("seq >= 24"), AXES, chunk=8, before=half).first()["u"], whole["u"])
+
+
+def test_displacements(spark):
+    """From the nearest other member in the cones, from the centroid where there is none."""
+    vectors = spark.createDataFrame([(0, 1, [1.0, 0.0, 0.0, 0.0]), (0, 2, [1.5, 0.0, 0.0, 0.0]), (0, 3, [0.0, 9.0, 0.0, 0.0])], "index_id int, id bigint, vec array<float>")
+    cents = spark.createDataFrame([(0, 0, [0.0, 0.0, 0.0, 0.0], 3), (0, 1, [0.0, 0.0, 50.0, 0.0], 0)], "index_id int, cluster int, centroid array<float>, stated bigint")
+    known = coarse.counted(vectors, cents, D)
+    batch = spark.createDataFrame([(0, 2, [1.5, 0.25, 0.0, 0.0], 10), (0, 8, [0.0, 0.0, 51.0, 0.0], 11), (0, 9, [1.25, 0.0, 0.0, 0.0], 12)], "index_id int, id bigint, vec array<float>, seq bigint")
+    got = {r["seq"]: (r["cluster"], r["v"]) for r in drift.displacements(batch, cones.members(vectors, known, AXES, 1, D), known, AXES, 1, D).collect()}
+    assert got == {10: (0, [0.5, 0.25, 0.0, 0.0]), 11: (1, [0.0, 0.0, 1.0, 0.0]), 12: (0, [0.25, 0.0, 0.0, 0.0])}
+
+
 def test_drift_profile(spark):
     got = {r["cluster"]: r for r in drift.profile(moves(spark), AXES, D).collect()}
     assert set(got) == {0, 1} and got[0]["angle"] < 15 < 60 < got[1]["angle"] and got[1]["explained"] > 0.9

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vecloom.functions.vecmath import sq_l2_at
-from vecloom.operators.coarse import distinct, in_order, matrix
+from vecloom.operators.coarse import distinct, double_lists, in_order, matrix
 from vecloom.sources.tables import ship_code
 
 #: Pairs of a query and a member looked at together.
@@ -292,6 +292,17 @@ def candidate_counts(members: DataFrame, visits: DataFrame, w: int, d: int = 32)
     return over_blocks(members, visits, answer, "qid bigint, n bigint", d).groupBy("qid").agg(F.sum("n").alias("n")).where("n > 0")
 
 
+def nearest_others(members: DataFrame, visits: DataFrame, w: int = 8, d: int = 32) -> DataFrame:
+    """(qid, id, sq, v): the two nearest members of each part within ``w`` ranks in a visited cone, and the way from them to the query."""
+    schema = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("sq", pa.float64()), ("v", pa.list_(pa.float64()))])
+
+    def answer(block: Block, qids: np.ndarray, fans: np.ndarray, q_proj: np.ndarray, q: np.ndarray) -> Iterator[pa.RecordBatch]:
+        qi, xi = _by_distance(block, q, block.levels(fans, q_proj, [w])[0], 2)
+        yield _records(schema, qids[qi], block.ids[xi], in_order(block.x[xi], q[qi]), double_lists(q[qi] - block.x[xi]))
+
+    return over_blocks(members, visits, answer, "qid bigint, id bigint, sq double, v array<double>", d)
+
+
 def filled(found: DataFrame, asks: DataFrame, live: DataFrame, k: int) -> DataFrame:
     """(qid, rank, id, fill): results of queries short of k rows are completed with the smallest live ids of the index not yet among them.
 

@@ -762,12 +762,13 @@ def merged_clusters(spark, base):
 
 
 def _displaced(spark, base):
-    """(index_id, cluster, seq, v): inserted and updated vectors against the centroid they are nearest to."""
+    """(index_id, cluster, seq, v): inserted and updated vectors against their nearest loaded neighbour, else the centroid."""
+    from vecloom.streaming import drift
+
     rows = fold.changes(read(spark, base, "mutations")).where((F.col("kind") != "delete") & V.usable("vector", D) & F.col("index_id").isNotNull())
-    batch = rows.select("index_id", F.col("seq").alias("id"), F.col("vector").alias("vec"))
-    near = coarse.nearest_cells(batch, centroids(spark, base), carry=True).where("cluster >= 0")
-    mu = centroids(spark, base).select("index_id", "cluster", "centroid")
-    return near.join(mu, ["index_id", "cluster"]).select("index_id", "cluster", F.col("id").alias("seq"), V.centre("vec", "centroid").alias("v"))
+    batch = durable(rows.select("index_id", F.col("global_id").alias("id"), F.col("vector").alias("vec"), "seq"))
+    known = cells(spark, base)
+    return drift.displacements(batch, cones.members(loaded(spark, base), known, axes(spark, base)), known, axes(spark, base))
 
 
 @register()

@@ -1,8 +1,9 @@
 """Drift of a cluster's inserts: a running subspace of their displacements, and an alarm when it leaves the cluster's axes.
 
-The state of a cluster is an orthonormal d x F basis, moved towards every displacement from the centroid (Oja's rule)
-and orthonormalised after each batch.  It starts from the first displacement, completed to a basis; from zero it
-could never move.
+The displacement of an insert leads to it from its nearest neighbour within a small window of the cones it joins, or from the centroid if there
+is none.  The state of a cluster is an orthonormal d x F basis, moved towards every displacement (Oja's rule) and orthonormalised
+after each batch.  It starts from the first displacement, completed to a basis; from zero it could never move.  As the rule is linear in the
+basis, a batch of displacements is one d x d matrix: those of a cluster are computed anywhere, and only applied in order.
 """
 
 from __future__ import annotations
@@ -11,9 +12,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vecloom.functions import vecmath as V
+from vecloom.operators import coarse, cones, search
+from vecloom.operators.coarse import matrix
+from vecloom.operators.positions import running
 from vecloom.sources.tables import ship_code
 
 #: Step of the rule, and the angle in degrees beyond which a cluster has drifted (fixed values of the index).
@@ -34,7 +40,11 @@ def start_basis(v: np.ndarray, fans: int) -> np.ndarray:
 def step(u: np.ndarray, batch: np.ndarray, beta: float = BETA) -> np.ndarray:
     """The basis after the rows of ``batch``, in order."""
     for v in batch:
-        u = (1.0 - beta) * u + beta * np.outer(v, u.T @ v)
+        u = (1.0 - beta) * u + (beta * v)[:, None] * (v @ u)[None]
+    return orthonormal(u)
+
+
+def orthonormal(u: np.ndarray) -> np.ndarray:
     q, r = np.linalg.qr(u)
     return q * np.where(np.diag(r) < 0, -1.0, 1.0)
 
@@ -47,49 +57,105 @@ def angle(u: np.ndarray, axes: np.ndarray) -> float:
 
 def _advance(state: np.ndarray | None, batch: np.ndarray, fans: int) -> np.ndarray | None:
     """Displacements of length 0 move nothing; each counts with its direction only."""
-    norms = np.linalg.norm(batch, axis=1)
-    units = batch[norms > 1e-10] / norms[norms > 1e-10][:, None]
+    units = _units(batch)
     if not len(units):
         return state
     return step(start_basis(units[0], fans) if state is None else state, units)
 
 
-def drift_states(displaced: DataFrame, axes: list[tuple[int, list[float]]], limit: float = ANGLE, chunk: int = 4_096) -> DataFrame:
+def displacements(batch: DataFrame, members: DataFrame, cells, axes, fans: int = 2, d: int = 32, w: int = 8) -> DataFrame:
+    """(index_id, cluster, seq, v) of ``batch`` (index_id, id, vec, seq): from the nearest other member within ``w`` ranks of the ``fans``
+    cones it joins in its nearest cluster, else from that cluster's centroid.
+
+    ``members`` as in ``cones``.  Indexes without centroids have none.
+    """
+    asks = batch.select("index_id", F.col("seq").alias("id"), "vec")
+    home = coarse.nearest_cells(asks, cells, d=d, carry=True).where("cluster >= 0")
+    rows = cells.rows if isinstance(cells, coarse.Prepared) else cells
+    mu = rows.toDF("index_id", "cluster", "mu", *rows.columns[3:])
+    centred = home.join(mu.select("index_id", "cluster", "mu"), ["index_id", "cluster"]).select("index_id", "cluster", F.col("id").alias("seq"), V.centre("vec", "mu").alias("from_mu"))
+    joins = cones.visits(asks, cells, axes, 1, fans, d).join(home.select(F.col("id").alias("qid"), "cluster"), ["qid", "cluster"], "left_semi")
+    near = search.nearest_others(members, joins, w, d)
+    others = near.join(batch.select(F.col("seq").alias("qid"), F.col("id").alias("own")), "qid").where("id <> own")
+    best = others.groupBy(F.col("qid").alias("seq")).agg(F.min_by("v", F.struct("sq", "id")).alias("v"))
+    return centred.join(best, "seq", "left").select("index_id", "cluster", "seq", F.coalesce("v", "from_mu").alias("v"))
+
+
+_CHUNKS = "index_id int, cluster int, chunk bigint, n bigint, first array<double>, m array<double>"
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(x, axis=1)
+    return x[norms > 1e-10] / norms[norms > 1e-10][:, None]
+
+
+def drift_states(displaced: DataFrame, axes: list[tuple[int, list[float]]], limit: float = ANGLE, chunk: int = 4_096, before: DataFrame | None = None) -> DataFrame:
     """(index_id, cluster, n, u, angle, drifted) of every cluster after its displacements (index_id, cluster, seq, v).
 
-    Applied in order of ``seq`` in chunks of ``chunk`` rows.  Clusters stream through their partition sorted, so a large one is
-    never held in memory.
+    Applied in order of ``seq`` in chunks of ``chunk`` rows, each its own task's work, so a large cluster is spread; one row of d x d numbers per chunk
+    is applied in order.  ``before`` are states to go on from.  A displacement of length 0 moves nothing; each counts with its direction only.
     """
     ship_code(displaced.sparkSession)
     a = np.array([v for _, v in axes])
+    d, fans = a.shape[1], len(a)
+    key = ["index_id", "cluster"]
+    placed = running(displaced.select(*key, "seq", "v", F.lit(1).alias("one")), key, "seq", [], "one", "place")
+    lean = placed.select(*key, F.floor(F.col("place") / chunk).alias("chunk"), "place", "v")
+    rows = lean.repartition(*key, "chunk").sortWithinPartitions(*key, "chunk", "place")
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n, first, m = None, 0, None, np.eye(d)
+
+        def done() -> pa.RecordBatch:
+            scale = np.abs(m).max()
+            return pa.RecordBatch.from_pylist([dict(zip(("index_id", "cluster", "chunk", "n", "first", "m"), (*now, n, None if first is None else first.tolist(), (m / scale).ravel().tolist())))], schema=target)
+
+        target = pa.schema([("index_id", pa.int32()), ("cluster", pa.int32()), ("chunk", pa.int64()), ("n", pa.int64()), ("first", pa.list_(pa.float64())), ("m", pa.list_(pa.float64()))])
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = [b.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            x = matrix(b.column(4), d)
+            cuts = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in keys], axis=0)] if b.num_rows > 1 else [True])
+            for s, z in zip(cuts.tolist(), np.r_[cuts[1:], b.num_rows].tolist()):
+                if (here := tuple(int(c[s]) for c in keys)) != now:
+                    if now is not None:
+                        yield done()
+                    now, n, first, m = here, 0, None, np.eye(d)
+                n += z - s
+                for v in _units(x[s:z]):
+                    first = v if first is None else first
+                    m = (1.0 - BETA) * m + (BETA * v)[:, None] * (v @ m)[None]
+        if now is not None:
+            yield done()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, u, n, rest = None, None, 0, []
-
-        def flush(final: bool) -> None:
-            nonlocal u, rest
-            while len(rest) >= chunk or (final and rest):
-                u, rest = _advance(u, np.array(rest[:chunk]), len(a)), rest[chunk:]
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n, u = None, 0, None
+        names = ("index_id", "cluster", "n", "u", "angle", "drifted")
+        target = pa.schema([("index_id", pa.int32()), ("cluster", pa.int32()), ("n", pa.int64()), ("u", pa.list_(pa.float64())), ("angle", pa.float64()), ("drifted", pa.bool_())])
 
-        def done() -> pd.DataFrame:
-            flush(True)
+        def done() -> pa.RecordBatch:
             at = angle(u, a) if u is not None else 0.0
-            return pd.DataFrame({"index_id": [key[0]], "cluster": [key[1]], "n": [n], "u": [[] if u is None else u.ravel().tolist()], "angle": [at], "drifted": [at > limit]})
+            return pa.RecordBatch.from_pylist([dict(zip(names, (*now, n, [] if u is None else u.ravel().tolist(), at, at > limit)))], schema=target)
 
-        for frame in frames:
-            for at, part in frame.groupby(["index_id", "cluster"], sort=False):
-                if at != key:
-                    if key is not None:
+        for b in batches:
+            for r in b.to_pylist():
+                if (here := (r["index_id"], r["cluster"])) != now:
+                    if now is not None:
                         yield done()
-                    key, u, n, rest = at, None, 0, []
-                n += len(part)
-                rest += list(part["v"])
-                flush(False)
-        if key is not None:
+                    now, n, u = here, 0, None
+                n += r["n"]
+                if r["chunk"] < 0:
+                    u = np.array(r["m"]).reshape(d, fans) if r["m"] else None
+                elif r["first"] is not None:
+                    u = orthonormal(np.array(r["m"]).reshape(d, d) @ (start_basis(np.array(r["first"]), fans) if u is None else u))
+        if now is not None:
             yield done()
 
-    lean = displaced.select("index_id", "cluster", "seq", "v")
-    return lean.repartition("index_id", "cluster").sortWithinPartitions("index_id", "cluster", "seq").mapInPandas(run, STATE)
+    chunks = rows.select(*key, "chunk", "place", "v").mapInArrow(products, _CHUNKS)
+    if before is not None:
+        chunks = chunks.unionByName(before.select(*key, F.lit(-1).cast("bigint").alias("chunk"), "n", F.lit(None).cast("array<double>").alias("first"), F.col("u").alias("m")))
+    return chunks.repartition(*key).sortWithinPartitions(*key, "chunk").mapInArrow(apply, STATE)
 
 
 def drift_stream(displaced: DataFrame, axes: list[tuple[int, list[float]]], limit: float = ANGLE) -> DataFrame:
