@@ -1,11 +1,14 @@
 """The index object: recall, changes that show, deletes that never leak, keeping."""
 
+import shutil
+
 import numpy as np
 import pytest
 
 from vecloom.functions import sqlfunctions
-from vecloom.model import FanIndex, Params, ProjectionIndex, lloyd
-from vecloom.sources.raw import append_results, read_floats
+from vecloom.model import GONE, FanIndex, Params, ProjectionIndex, lloyd
+from vecloom.sources.raw import append_results, chunked, gaussian, read_floats
+from vecloom.sources.store import Collection
 
 D = 12
 
@@ -76,10 +79,56 @@ def test_changes_show(spark, tmp_path):
     assert again.describe() == index.describe() and again.describe()["n_deleted"] == 1
     asks = frame(spark, vectors(5, 6), "qid bigint, q array<float>")
     assert sorted(map(tuple, again.search(asks, 5).collect())) == sorted(map(tuple, index.search(asks, 5).collect()))
-    again.delete(again.members().limit(150).select("id"))
+    again.delete(again.members().orderBy("id").limit(150).select("id"))
     left = again.describe()["n"]
     again.refresh()
     assert again.describe()["n"] == left and again.describe()["n_deleted"] < 151
+    sketch = {r["id"]: r["sketch"] for r in FanIndex.stored_sketch(spark, str(tmp_path / "index")).collect()}
+    shutil.rmtree(tmp_path / "index" / "sketch")
+    assert {r["id"]: r["sketch"] for r in FanIndex.stored_sketch(spark, str(tmp_path / "index")).collect()} == sketch and 9_001 in sketch
+    with pytest.raises(ValueError):
+        FanIndex.load(spark, str(tmp_path / "index"), D + 1)
+    spark.createDataFrame([(1, 1, True, 1)], GONE).write.mode("append").parquet(str(tmp_path / "index" / "gone"))
+    with pytest.raises(ValueError, match="rows"):
+        FanIndex.load(spark, str(tmp_path / "index"))
+
+
+def test_drifted_clusters_get_axes_of_their_own(spark, tmp_path):
+    g = np.random.default_rng(0)
+    rows = {i: np.r_[g.standard_normal(3), np.zeros(D - 3)].astype(np.float32) for i in range(120)}
+    log = Collection(spark, str(tmp_path / "log"), D)
+    index = FanIndex.fit(frame(spark, rows), D, nlist=2, fans=3, seed=1, log=log, merge_interval=1_000)
+    later = {1_000 + i: np.r_[np.zeros(D - 1), 2 + 0.2 * i].astype(np.float32) for i in range(60)}
+    index.add(frame(spark, later))
+    assert index.own and log.live().count() == 60
+    c, axes = next(iter(index.own.items()))
+    assert np.allclose(np.array(axes) @ np.array(axes).T, np.eye(3)) and abs(axes[0][D - 1]) > 0.9
+    assert index.cluster_axes(c) == axes and index.cluster_axes(99) == [a for _, a in index.axes]
+    asks = {1: later[1_030], 2: rows[7]}
+    want = truth(rows | later, asks, 5)
+    assert recall(index.search(frame(spark, asks, "qid bigint, q array<float>"), 5, probes=2, fan_probes=3), want, 5) == 1.0
+    assert recall(index.search(frame(spark, asks, "qid bigint, q array<float>"), 5, probes=2, fan_probes=2, sketch=True), want, 5) >= 0.8
+    held = {r["id"] for r in index.point_cones(spark.createDataFrame([(1_030,)], "id bigint")).collect()}
+    assert held == {1_030} and sum(r["n"] for r in index.tombstones().collect()) == 180
+    assert sum(index.cone(c, f).count() for f in range(3)) == index.cluster_members(c).count()
+    for bad in (lambda: index.cone(c, 3), lambda: index.cluster_members(77)):
+        with pytest.raises(IndexError):
+            bad()
+    index.set_merging(interval=5, eps=0.5)
+    assert index.params.merge_interval == 5
+    with pytest.raises(ValueError):
+        index.set_merging(ratio=2.0)
+
+
+def test_chunks_and_gaussian(spark):
+    x = np.random.default_rng(2).standard_normal((1_030, D)).astype(np.float32)
+    rows = chunked(spark, lambda a, z: x[a:z], 1_030, D, 100)
+    got = {r["id"]: r["vec"] for r in rows.collect()}
+    assert len(got) == 1_030 and all(np.array_equal(got[i], x[i]) for i in range(0, 1_030, 97))
+    index = FanIndex.fit(rows, D, nlist=8, fans=4, sampling="head")
+    assert index.describe()["n"] == 1_030 and index.sketch().count() == 1_030
+    normal = np.array([r["vec"] for r in gaussian(spark, 2_000, 3).collect()])
+    assert normal.shape == (2_000, 3) and abs(normal.mean()) < 0.1 and abs(normal.std() - 1) < 0.1
 
 
 def test_twin_clusters_merge(spark):
@@ -120,8 +169,8 @@ def test_lloyd_reseeds():
 
 def test_sql_functions_and_raw_files(spark, tmp_path):
     sqlfunctions.register(spark)
-    row = spark.sql("SELECT vec_dot(array(1D, 2D), array(3D, 4D)) a, vec_l2sq(array(1D, 2D), array(3D, 5D)) b, vec_norm(array(3D, 4D)) c, vec_centre(array(1D), array(3D)) d").first()
-    assert tuple(row) == (11.0, 13.0, 5.0, [-2.0])
+    row = spark.sql("SELECT vec_dot(array(1D, 2D), array(3D, 4D)) a, vec_l2sq(array(1D, 2D), array(3D, 5D)) b, vec_norm(array(3D, 4D)) c, vec_centre(array(1D), array(3D)) d, vec_normalize(array(3D, 4D)) e, vec_normalize(array(0D)) f").first()
+    assert tuple(row) == (11.0, 13.0, 5.0, [-2.0], [0.6, 0.8], [0.0])
     data = np.arange(24, dtype="<f4").reshape(6, 4)
     data.tofile(tmp_path / "flat.dat")
     got = {r["id"]: r["vec"] for r in read_floats(spark, str(tmp_path / "flat.dat"), 4).collect()}
