@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from vecloom.functions import vecmath as V
+from vecloom.model import tune
 from vecloom.operators import coarse, cones, evaluate, exact, maintain, projection, search, tuner
 from vecloom.operators.positions import running
 
@@ -260,3 +261,36 @@ def test_tuner():
     alpha, best, tried = tuner.tune_alpha(lambda a: -((a - 1.1) ** 2), 10)
     assert len(tried) == 10 and abs(alpha - 1.1) < 0.2
     assert (20, 16, 30) in tuner.settings(16, 15)
+    assert tuner.tune_alpha(lambda a: a, 4, (0.5, 2.0))[0] == 2.0
+    assert [tuner.sample_size(n) for n in (10, 5_000, 80_000, 10**7)] == [10, 5_000, 8_000, 50_000] and tuner.sample_size(10**7, 7_000) == 7_000
+    at = np.array([0.1, 0.5, 0.9])
+    mean, spread = tuner.Process().fit([0.1, 0.9], [1.0, 3.0]).predict(at)
+    assert abs(mean[0] - 1) < 0.05 and abs(mean[2] - 3) < 0.05 and spread[1] > spread[0]
+
+
+def test_tuning(spark):
+    """The winner's settings: more looked at, more found; the widest finds everything; recalls are those of real searches."""
+    g = np.random.default_rng(0)
+    rows = {i: (g.standard_normal(D) + 4 * g.integers(0, 3, D)).astype(np.float32) for i in range(700)}
+    asks = {i: rows[i * 13] + np.float32(0.1) for i in range(12)}
+    frame = lambda r, names: spark.createDataFrame([(i, [float(x) for x in v]) for i, v in r.items()], names)
+    got = tune(frame(rows, "id bigint, vec array<float>"), frame(asks, "qid bigint, q array<float>"), D, count=4)
+    assert len(got.trials) == 12 and {t[0] for t in got.trials} == {1, 2, 3} and all(0 <= t[2] <= 1 for t in got.trials)
+    swept = {(r["cp"], r["fp"], r["w"]): r for r in got.sweep.collect()}
+    p = got.index.params
+    assert set(swept) == set(tuner.settings(p.fans, 15)) and p.nlist == round(got.alpha * np.sqrt(700))
+    widest = swept[20, p.fans, 30]
+    assert widest["recall"] >= 0.95 and all(r["cands"] <= widest["cands"] and r["recall"] <= widest["recall"] for r in swept.values())
+    pairs = {(r[0], r[1]) for r in got.index.candidates(frame(asks, "qid bigint, q array<float>"), 15, 5, 2).collect()}
+    assert swept[5, 2, 15]["cands"] == pytest.approx(len(pairs) / 12)
+    x, ids = np.array(list(rows.values()), float), np.array(list(rows))
+    want = {(q, int(i)) for q, v in asks.items() for i in ids[np.argsort(((x - v) ** 2).sum(1))[:10]]}
+    assert swept[5, 2, 15]["recall"] == pytest.approx(len(pairs & want) / 120)
+
+
+def test_quality(spark):
+    schema = "qid bigint, rank int, id bigint, dist double"
+    truth = spark.createDataFrame([(1, r, r, float(r)) for r in range(1, 5)] + [(2, 1, 9, 1.0)], schema)
+    found = spark.createDataFrame([(1, 1, 1, 1.0), (1, 2, 3, 3.0), (1, 3, 2, 2.0), (2, 1, 8, 2.0)], schema)
+    got = evaluate.quality(found, truth, (1, 3)).first()
+    assert (got["r1"], got["r3"]) == (0.5, 0.75) and got["ratio"] == pytest.approx((2 / 2.5 + 2) / 2)

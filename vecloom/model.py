@@ -18,12 +18,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vecloom.functions import vecmath as V
-from vecloom.operators import coarse, cones, maintain, projection, search
+from vecloom.operators import coarse, cones, exact, maintain, projection, search, tuner
+from vecloom.operators.coarse import lloyd
 from vecloom.sources.store import Collection, Numbered
 from vecloom.sources.tables import durable, small_enough
 
-#: Rows k-means is fitted on at most, its rounds and tolerance (fixed values of the index).
-SAMPLE, ROUNDS, STILL = 50_000, 20, 1e-6
+#: Rows k-means is fitted on at most (fixed value of the index).
+SAMPLE = 50_000
 #: Segments kept before they become one.
 SEGMENTS = 16
 GONE = "id bigint, batch int, deleted boolean, cluster int"
@@ -48,25 +49,6 @@ class Params:
             raise ValueError("merge_eps must be positive, merge_ratio within 0 and 1, merge_interval not negative")
 
 
-def lloyd(x: np.ndarray, k: int, seed: int, spherical: bool) -> np.ndarray:
-    """k centroids of the rows of ``x``: random distinct rows first, empty ones seeded again, until nothing moves."""
-    g = np.random.default_rng(seed)
-    mu = x[g.choice(len(x), k, replace=False)].copy()
-    for _ in range(ROUNDS):
-        near = np.concatenate([((mu * mu).sum(1) - 2.0 * (x[a : a + 16_384] @ mu.T)).argmin(1) for a in range(0, len(x), 16_384)])
-        counts = np.bincount(near, minlength=k)
-        order = np.argsort(near, kind="stable")
-        filled = np.flatnonzero(counts)
-        new = x[g.choice(len(x), k)].copy()
-        new[filled] = np.add.reduceat(x[order], np.r_[0, np.cumsum(counts[filled])[:-1]], axis=0) / counts[filled][:, None]
-        if spherical:
-            new /= np.maximum(np.linalg.norm(new, axis=1, keepdims=True), V.TINY)
-        moved, mu = np.abs(new - mu).max(), new
-        if moved <= STILL:
-            break
-    return mu
-
-
 def _rows(vectors: DataFrame, d: int, metric: str) -> DataFrame:
     """(index_id, id, vec) of usable rows, normalised for cosine, repeated rows once."""
     good = vectors.where(F.col("id").isNotNull() & V.usable("vec", d)).select(F.lit(0).alias("index_id"), F.col("id").cast("bigint").alias("id"), F.col("vec").cast("array<float>").alias("vec")).distinct()
@@ -387,6 +369,43 @@ class FanIndex:
         return cls.load(spark, folder).sketch()
 
 
+@dataclass
+class Tuned:
+    """The winner of a tuning: its index, every trial (cones per vector, alpha, score), and its search settings (cp, fp, w, cands, recall)."""
+
+    index: FanIndex
+    trials: list[tuple[int, float, float]]
+    alpha: float
+    sweep: DataFrame
+
+
+def tune(vectors: DataFrame, queries: DataFrame, d: int, k: int = 10, n_sample: int | None = None, count: int = 10, seed: int = 0) -> Tuned:
+    """Choose alpha and the cones per vector for (id, vec) on a bounded sample, build the winner on everything, and sweep its search settings.
+
+    Trials see ``tuner.sample_size`` vectors and ASKED queries (qid, q) of smallest hash, the sweep SWEPT queries against the exact answer.
+    """
+    spark, rows = vectors.sparkSession, durable(_rows(vectors, d, "l2"))
+    n = rows.count()
+    first = rows.orderBy(F.xxhash64("id"), "id").limit(tuner.sample_size(n, n_sample)).select("vec").collect()
+    asked = queries.where(F.col("qid").isNotNull() & V.usable("q", d)).orderBy(F.xxhash64("qid"), "qid").limit(tuner.SWEPT).select("q").collect()
+    if not n or not asked:
+        raise ValueError("tuning needs usable vectors and queries")
+    x, q = (np.array([r[0] for r in got], float) for got in (first, asked))
+    fans, wide, window = tuner.scale_params(n, d)
+    fans = min(fans, d)
+    tried = tuner.trials(spark, x, q[: tuner.ASKED], fans, window, k, count, seed)
+    top, alpha, _ = max(tried, key=lambda t: (t[2], -t[0], -t[1]))
+    nlist = max(1, round(alpha * math.sqrt(n)))
+    index = FanIndex.fit(rows.select("id", "vec"), d, nlist, min(d, tuner.viable_fans(n, nlist, wide)), top, seed=seed)
+    asks = spark.createDataFrame([(0, i, [float(v) for v in r]) for i, r in enumerate(q)], "index_id int, id bigint, vec array<float>")
+    grouped = lambda df: df.select(F.col("index_id").alias("grp"), "id", "vec")
+    truth: dict[int, set[int]] = {}
+    for r in exact.nearest(grouped(asks), grouped(rows), k, "l2", d).select("qid", "global_id").collect():  # SWEPT x k rows
+        truth.setdefault(r["qid"], set()).add(r["global_id"])
+    swept = tuner.sweep(index._live(), asks, index._centroids(), index._directions(), truth, index.params.fans, window, d)
+    return Tuned(index, tried, alpha, swept)
+
+
 class ProjectionIndex:
     """Sorted projections on random unit directions; rank windows give candidates, exact distances the answer."""
 

@@ -264,3 +264,26 @@ def in_order_dots(x: np.ndarray, axes: np.ndarray) -> np.ndarray:
     for j in range(x.shape[1]):
         total += x[:, j : j + 1] * axes[:, j][None]
     return total
+
+
+#: Rounds and tolerance of k-means (fixed values of the index).
+ROUNDS, STILL, TINY = 20, 1e-6, 1e-10
+
+
+def lloyd(x: np.ndarray, k: int, seed: int, spherical: bool) -> np.ndarray:
+    """k centroids of the rows of ``x``: random distinct rows first, empty ones seeded again, until nothing moves."""
+    g = np.random.default_rng(seed)
+    mu = x[g.choice(len(x), k, replace=False)].copy()
+    for _ in range(ROUNDS):
+        near = np.concatenate([((mu * mu).sum(1) - 2.0 * (x[a : a + 16_384] @ mu.T)).argmin(1) for a in range(0, len(x), 16_384)])
+        counts = np.bincount(near, minlength=k)
+        order = np.argsort(near, kind="stable")
+        filled = np.flatnonzero(counts)
+        new = x[g.choice(len(x), k)].copy()
+        new[filled] = np.add.reduceat(x[order], np.r_[0, np.cumsum(counts[filled])[:-1]], axis=0) / counts[filled][:, None]
+        if spherical:
+            new /= np.maximum(np.linalg.norm(new, axis=1, keepdims=True), TINY)
+        moved, mu = np.abs(new - mu).max(), new
+        if moved <= STILL:
+            break
+    return mu

@@ -20,6 +20,16 @@ def distance_ratio(found: DataFrame, truth: DataFrame) -> DataFrame:
     return both.agg(F.avg((F.col("f") / (F.col("t") + 1e-10)).cast("decimal(28,12)")).cast("double").alias("ratio"))
 
 
+def quality(found: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (1, 10, 100)) -> DataFrame:
+    """(r1, r10, ..., ratio): for each k the share of the true k nearest among the first k found; and the distance ratio.
+
+    Both have (qid, rank, id, dist); a query with fewer than k true neighbours counts what it has.
+    """
+    both = truth.select("qid", "id", F.col("rank").alias("true")).join(found.select("qid", "id", F.col("rank").alias("got")), ["qid", "id"], "left")
+    share = lambda k: F.count_if((F.col("true") <= k) & (F.col("got") <= k)) / F.greatest(F.count_if(F.col("true") <= k), F.lit(1))
+    return both.agg(*[share(k).alias(f"r{k}") for k in ks]).crossJoin(distance_ratio(found, truth))  # one row each
+
+
 def mean_candidates(pairs: DataFrame) -> DataFrame:
     """(cands): candidates per query, over all queries that have any."""
     return pairs.groupBy("qid").agg(F.count("*").alias("n")).agg(F.avg("n").alias("cands"))

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.functions import vecmath as V
-from vecloom.operators import coarse, cones, evaluate, exact, fold, maintain, projection, search, tuner
+from vecloom.operators import coarse, cones, evaluate, exact, fold, maintain, projection, search
 from vecloom.operators.positions import running
 from vecloom.plans.sql import D, D_EMB, dot, query, sq, unit, usable
 from vecloom.sources.tables import durable, read, shared_folder
@@ -473,15 +472,21 @@ def cone_search_refined(spark, base):
     return _found(search.adaptive(*_default(spark, base), 10, WINDOW, sketch=_SKETCH))
 
 
-@register(query("SELECT count(*) AS pairs, 0::BIGINT AS violations FROM routed r JOIN home h USING (index_id, cluster) WHERE r.cluster_rank = 1", "routed", "home"))
+_SKETCH_AXES = ", ".join("[" + ", ".join(repr(float(v)) for v in a) + "]" for a in _SKETCH)
+
+
+@register(query(f"""SELECT count(*) AS pairs, count_if(low > sq + 1e-9) AS violations, round(max(low / greatest(sq, 1e-9)), 6) AS closest FROM (
+  SELECT qid, global_id, any_value({sq("r.v", "h.v")}) AS sq, sum(({dot("r.v", "o.a")} - {dot("h.v", "o.a")}) * ({dot("r.v", "o.a")} - {dot("h.v", "o.a")})) AS low
+  FROM routed r JOIN home h USING (index_id, cluster) CROSS JOIN (SELECT unnest([{_SKETCH_AXES}]) AS a) o WHERE r.cluster_rank = 1 GROUP BY ALL)""", "routed", "home"))
 def sketch_lower_bound_check(spark, base):
     """On orthonormal axes the sketch distance never exceeds the true one."""
     own = _orthonormal(spark, base)
     asks = projection.projections(asks_q(spark, base), own, "q", D, "q_sketch")
     rows = projection.projections(bodies(spark, base), own, "vec", D, "sketch")
     both = _nearest_members(spark, base).join(asks, "qid").join(rows, "id")
-    over = V.sq_l2("q_sketch", "sketch") > V.sq_l2("q", "vec") + 1e-9
-    return both.agg(F.count("*").alias("pairs"), F.count_if(over).alias("violations"))
+    low, true = V.sq_l2("q_sketch", "sketch"), V.sq_l2("q", "vec")
+    closest = F.round(F.max(low / F.greatest(true, F.lit(1e-9))), 6)
+    return both.agg(F.count("*").alias("pairs"), F.count_if(low > true + 1e-9).alias("violations"), closest.alias("closest"))
 
 
 _FILL = query("""SELECT qid, rank, global_id, fill FROM (
@@ -579,12 +584,31 @@ def scaling_exponent(spark, base):
     return evaluate.scaling_exponent(pairs)
 
 
-@register(query("SELECT qid, global_id FROM wfound EXCEPT SELECT qid, global_id FROM wcands", "wfound", "wcands"))
+@register(query("""SELECT (SELECT count(*) FROM wfound) AS found, (SELECT count(*) FROM wfound JOIN wcands USING (qid, global_id)) AS among, (SELECT count(*) FROM truth) AS truth,
+  (SELECT count(*) FROM truth JOIN wcands USING (qid, global_id)) AS held""", "wfound", "wcands", "truth"))
 def candidates_superset_check(spark, base):
-    """Results that are no candidates: none."""
-    found = _projection_found(spark, base).select("qid", F.col("id").alias("global_id"))
+    """Results and how many of them are candidates (all); true neighbours and how many of them are candidates."""
     pairs = projection.candidates(_lists(spark, base), ["index_id"], 100)
-    return found.exceptAll(pairs.select("qid", F.col("id").alias("global_id")))
+    counted = lambda df, whole, part: df.select("qid", "id").join(pairs.withColumn("hit", F.lit(1)), ["qid", "id"], "left").agg(F.count("*").alias(whole), F.count("hit").alias(part))
+    return counted(_projection_found(spark, base), "found", "among").crossJoin(counted(_truth(spark, base), "truth", "held"))
+
+
+@register()
+def search_quality(spark, base):
+    """Recall at 1, 10 and 100 and the distance ratio of every search at its index's defaults, 100 neighbours asked for."""
+    k = 100
+    truth = durable(_knn(spark, base, "l2", k).select("qid", "rank", F.col("global_id").alias("id"), "dist"))
+    ranked = lambda df: df.select("qid", "rank", "id", F.sqrt("sq").alias("dist"))
+    found = {
+        "cones": ranked(search.adaptive(*_default(spark, base), k, WINDOW)),
+        "cones, sketch": ranked(search.adaptive(*_default(spark, base), k, WINDOW, sketch=_SKETCH)),
+        "projections": search.best(projection.nearest_in_windows(_direction_lists(spark, base, carry=True), ["index_id"], "w", k, D), k),
+    }
+    rows = None
+    for name, df in found.items():
+        one = evaluate.quality(df, truth).withColumn("method", F.lit(name))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows.select("method", "r1", "r10", "r100", "ratio")
 
 
 @register(query("""SELECT index_id, n, fans, least(128, 2 * fans) AS wide, greatest(15, floor(15 * sqrt(n / 10000.0))::INTEGER) AS base_window FROM (
@@ -624,7 +648,7 @@ def add_visible(spark, base):
     return _folded(spark, base).where("kind = 'insert'").select("global_id", "seq")
 
 
-@register(query("SELECT count(*) AS tombstones, 0::BIGINT AS leaked FROM dead", "dead"))
+@register(query("SELECT count(*) AS tombstones, count(l.global_id) AS leaked FROM dead d LEFT JOIN live l USING (global_id)", "dead", "live"))
 def delete_excluded(spark, base):
     """Deleted ids, and how many of them are in the live view."""
     folded = _folded(spark, base)
@@ -799,10 +823,15 @@ def drift_profile(spark, base):
 
 @register()
 def chunked_build(spark, base):
-    """Cones built from random directions by chunks of a partition: sizes per cluster."""
-    own = projection.axis_rows(_orthonormal(spark, base))
-    built = cones.entries(stored(spark, base), centroids(spark, base), own, top=1)
-    return cones.sizes(built)
+    """An index built as chunks arrive: k-means on the first rows, one pass that assigns and projects, vectors and sketch written; live counts."""
+    from vecloom.model import FanIndex
+
+    rows = read(spark, base, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    folder = shared_folder(spark, "chunked")
+    FanIndex.fit(rows, D_EMB, fans=16, sampling="head").save(folder)
+    built = FanIndex.load(spark, folder, D_EMB)
+    sketched = built.members().join(FanIndex.stored_sketch(spark, folder), "id").groupBy("cluster").agg(F.count("*").alias("sketched"))
+    return built.tombstones().join(sketched, "cluster", "left").select("cluster", "n", "n_tomb", F.coalesce("sketched", F.lit(0)).alias("sketched"))
 
 
 @register(query("SELECT index_id, (SELECT count(*) FROM ax) AS fans, count(*) AS n, max(nlist) AS nlist FROM stored LEFT JOIN (SELECT index_id, count(*) AS nlist FROM cents GROUP BY index_id) USING (index_id) GROUP BY index_id", "stored", "cents", "ax"))
@@ -815,15 +844,14 @@ def describe_index(spark, base):
 
 @register()
 def tuner_suggest(spark, base):
-    """Alpha chosen by the process for each round, scored by recall of the projection index over a sweep of windows."""
-    found = durable(_truth(spark, base))
-    lists = _lists(spark, base)
-
-    def score(alpha: float) -> float:
-        pairs = projection.candidates(lists, ["index_id"], max(10, int(100 * alpha)))
-        got = evaluate.recall(pairs, found, 10).first()[0]
-        cost = evaluate.mean_candidates(pairs).first()[0]
-        return float(got) - 0.1 * math.log10(max(1.0, float(cost or 1.0)))
-
-    _, _, tried = tuner.tune_alpha(score, trials=5)
-    return spark.createDataFrame([(i, float(a), float(s)) for i, (a, s) in enumerate(tried)], "trial int, alpha double, score double")
+    """The cheapest settings for each recall on the largest index: alpha and cones per vector tuned on a sample, the winner built and swept."""
+    from vecloom.model import tune
+
+    most = stored(spark, base).groupBy("index_id").count().orderBy(F.desc("count"), "index_id").first()
+    if most is None:
+        return spark.createDataFrame([], "target double, met boolean, cp int, fp int, w int, cands double, recall double, alpha double, cone_top_k int, nlist int, fans int")
+    of = lambda df: df.where(F.col("index_id") == most["index_id"])
+    got = tune(of(loaded(spark, base)).select("id", "vec"), of(asked(spark, base)).select(F.col("id").alias("qid"), F.col("vec").alias("q")), D)
+    p = got.index.params
+    chosen = evaluate.suggestions(got.sweep).select("target", "met", "cp", "fp", "w", "cands", "recall")
+    return chosen.select("*", F.lit(float(got.alpha)).alias("alpha"), F.lit(p.cone_top_k).alias("cone_top_k"), F.lit(p.nlist).alias("nlist"), F.lit(p.fans).alias("fans"))
