@@ -32,7 +32,7 @@ def test_entry(spark):
     assert df.columns == ["qid", "global_id", "dist", "rank"] and df.count() > 0
 
 
-@pytest.mark.parametrize("name", ["p2_found", "p2_current_state", "p4_found", "p4_gaps", "p5_found", "p5_member_counts", "exact_knn_l2", "cone_candidates", "adaptive_search", "merged_clusters", "projection_search", "batch_add_ids"])
+@pytest.mark.parametrize("name", ["p2_found", "p2_current_state", "p4_found", "p4_gaps", "p5_found", "p5_member_counts", "exact_knn_l2", "cone_candidates", "adaptive_search", "merged_clusters", "quantization_error", "sketch_lower_bound_check", "projection_search", "batch_add_ids"])
 def test_twins(spark, name):
     con = duckdb.connect()
     con.sql("SET timezone = 'UTC'")

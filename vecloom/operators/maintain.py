@@ -53,7 +53,8 @@ def compacted(assigned: DataFrame, dead: DataFrame, at: float = COMPACT_AT) -> D
 
 def quantization_error(assigned: DataFrame) -> DataFrame:
     """(index_id, cluster, n, error): mean squared distance to the centroid; ``assigned`` has sq_dist."""
-    return assigned.groupBy("index_id", "cluster").agg(F.count("*").alias("n"), F.avg(F.col("sq_dist").cast("decimal(28,12)")).cast("double").alias("error"))
+    total = F.sum(F.col("sq_dist").cast("decimal(28,12)")).cast("double")
+    return assigned.groupBy("index_id", "cluster").agg(F.count("*").alias("n"), (total / F.count("*")).alias("error"))
 
 
 def merge_pairs(cells: DataFrame, limit_sq: float, d: int = 32) -> DataFrame:
