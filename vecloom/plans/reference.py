@@ -224,7 +224,7 @@ def axis_rank_positions(spark, base):
 
 
 def _lists(spark, base, carry=False):
-    return projection.sorted_lists(_point_projections(spark, base), _query_projections(spark, base), ["index_id"], carry)
+    return projection.sorted_lists(durable(_point_projections(spark, base)), _query_projections(spark, base), ["index_id"], carry)
 
 
 @register(query("SELECT axis, count(*) AS n FROM (SELECT q.qid, q.axis, p.global_id FROM qpos q JOIN ppos p ON p.index_id = q.index_id AND p.axis = q.axis AND p.pos >= q.pos - 100 AND p.pos < q.pos + 100) GROUP BY axis", "qpos", "ppos"))
@@ -256,7 +256,7 @@ DIRECTIONS, SHARE, LEAST_WINDOW = 16, 0.02, 100
 def _direction_lists(spark, base, carry=False):
     own = projection.axis_table(spark, projection.random_axes(DIRECTIONS, D))
     asks = projection.projections(asked(spark, base).withColumnRenamed("id", "qid"), own, "vec", D)
-    lists = projection.sorted_lists(projection.projections(stored(spark, base), own, "vec", D), asks, ["index_id"], carry)
+    lists = projection.sorted_lists(durable(projection.projections(stored(spark, base), own, "vec", D)), asks, ["index_id"], carry)
     return projection.scaled(lists, ["index_id"], SHARE, LEAST_WINDOW)
 
 
@@ -760,11 +760,11 @@ def _cells(spark, base):
 
 @register(query("SELECT index_id, a, b, sq FROM near_cells", "near_cells"))
 def merge_pairs(spark, base):
-    return maintain.merge_pairs(_cells(spark, base), 250.0)
+    return maintain.merge_pairs(durable(_cells(spark, base)), 250.0)
 
 
-def _gains(spark, base):
-    cells = _cells(spark, base)
+def _gains(spark, base, cells=None):
+    cells = cells or durable(_cells(spark, base))
     return maintain.merge_gain(maintain.merge_pairs(cells, 250.0), cells)
 
 
@@ -778,8 +778,9 @@ def merge_gain(spark, base):
 FROM cells x LEFT JOIN mplan p ON p.index_id = x.index_id AND p.kept = x.cluster LEFT JOIN cells y ON y.index_id = p.index_id AND y.cluster = p.folded
 WHERE NOT EXISTS (SELECT 1 FROM mplan f WHERE f.index_id = x.index_id AND f.folded = x.cluster)""", "cells", "mplan"))
 def merged_clusters(spark, base):
-    cells = _cells(spark, base).withColumn("mu", V.doubles("mu"))
-    return maintain.merged(cells, maintain.merge_plan(_gains(spark, base)))
+    cells = durable(_cells(spark, base))
+    plan = durable(maintain.merge_plan(durable(_gains(spark, base, cells))))
+    return maintain.merged(cells.withColumn("mu", V.doubles("mu")), plan)
 
 
 # drift, building and tuning
@@ -791,8 +792,8 @@ def _displaced(spark, base):
 
     rows = fold.changes(read(spark, base, "mutations")).where((F.col("kind") != "delete") & V.usable("vector", D) & F.col("index_id").isNotNull())
     batch = durable(rows.select("index_id", F.col("global_id").alias("id"), F.col("vector").alias("vec"), "seq"))
-    known = cells(spark, base)
-    return drift.displacements(batch, cones.members(loaded(spark, base), known, axes(spark, base)), known, axes(spark, base))
+    known, own = cells(spark, base), axes(spark, base)
+    return drift.displacements(batch, cones.members(loaded(spark, base), known, own), known, own)
 
 
 @register()

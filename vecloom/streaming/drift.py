@@ -20,7 +20,7 @@ from vecloom.functions import vecmath as V
 from vecloom.operators import coarse, cones, search
 from vecloom.operators.coarse import matrix
 from vecloom.operators.positions import running
-from vecloom.sources.tables import ship_code
+from vecloom.sources.tables import durable, ship_code
 
 #: Step of the rule, and the angle in degrees beyond which a cluster has drifted (fixed values of the index).
 BETA, ANGLE = 0.01, 15.0
@@ -99,7 +99,9 @@ def drift_states(displaced: DataFrame, axes: list[tuple[int, list[float]]], limi
     a = np.array([v for _, v in axes])
     d, fans = a.shape[1], len(a)
     key = ["index_id", "cluster"]
-    placed = running(displaced.select(*key, "seq", "v", F.lit(1).alias("one")), key, "seq", [], "one", "place")
+    # kept first: the ranges of ``running`` are sampled from it before they are cut
+    steps = durable(displaced.select(*key, "seq", "v", F.lit(1).alias("one")))
+    placed = running(steps, key, "seq", [], "one", "place")
     lean = placed.select(*key, F.floor(F.col("place") / chunk).alias("chunk"), "place", "v")
     rows = lean.repartition(*key, "chunk").sortWithinPartitions(*key, "chunk", "place")
 
