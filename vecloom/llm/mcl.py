@@ -92,7 +92,8 @@ def _place(radius: float):
 def near_pairs(a: np.ndarray, b: np.ndarray | None, limit: float, along: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of rows of ``a`` and ``b`` (of ``a`` and later rows of ``a`` if None) within ``limit``, squared.
 
-    Both are sorted along one direction first, so a row meets only rows within the radius on it.
+    Both are sorted along one direction first, so a row meets only rows within the radius on it.  Distances from the matrix product decide;
+    only those within rounding of the limit are summed again element by element.
     """
     radius = np.sqrt(limit) * 1.000001
     pa_ = a @ along
@@ -102,19 +103,23 @@ def near_pairs(a: np.ndarray, b: np.ndarray | None, limit: float, along: np.ndar
     ob = oa if b is None else np.argsort(pb, kind="stable")
     sa, sb, ka, kb = a[oa], other[ob], pa_[oa], pb[ob]
     na, nb = (sa * sa).sum(1), (sb * sb).sum(1)
+    rounding = 1e-7 + 1e-12 * (na.max(initial=0.0) + nb.max(initial=0.0))
     for i in range(0, len(sa), _CHUNK):
         j = min(i + _CHUNK, len(sa))
         first = i if b is None else int(np.searchsorted(kb, ka[i] - radius))
         end = int(np.searchsorted(kb, ka[j - 1] + radius, "right"))
-        for f in range(first, end, 8 * _CHUNK):
-            e = min(f + 8 * _CHUNK, end)
+        for f in range(first, end, 2 * _CHUNK):
+            e = min(f + 2 * _CHUNK, end)
             dist = na[i:j, None] + nb[f:e] - 2.0 * (sa[i:j] @ sb[f:e].T)
-            x, y = np.nonzero(dist <= limit + 1e-7)
-            x, y = x + i, y + f
+            x, y = np.nonzero(dist <= limit + rounding)
             if b is None:
-                x, y = x[x < y], y[x < y]
-            exact = ((sa[x] - sb[y]) ** 2).sum(1) <= limit
-            yield oa[x[exact]], ob[y[exact]]
+                later = x + i < y + f
+                x, y = x[later], y[later]
+            sure = dist[x, y] <= limit - rounding
+            x, y = x + i, y + f
+            edge = np.flatnonzero(~sure)
+            sure[edge] = ((sa[x[edge]] - sb[y[edge]]) ** 2).sum(1) <= limit
+            yield oa[x[sure]], ob[y[sure]]
 
 
 def _scrambled(ids: np.ndarray, salt: int) -> np.ndarray:
