@@ -308,6 +308,55 @@ def test_long_texts_in_pieces(monkeypatch):
         assert np.allclose(net.scores(docs), once, atol=1e-5)
 
 
+@pytest.mark.parametrize("limit", [64 << 20, 32])
+def test_every_reviewed_document_is_learned_from(spark, monkeypatch, limit):
+    """More of either kind than a sample once took, and a text longer than it took; votes sent to every task, or shuffled."""
+    monkeypatch.setattr(cnn, "SHIP_LIMIT", limit, raising=False)
+    rows = [(i, f"word {'zarky' if i < 1_600 else 'stands'}", "en", "s") for i in range(4_800)] + [(9_000, "word " * 30_000, "en", "s"), (9_001, None, "en", "s"), (9_002, "", "en", "s")]
+    labels = [(i, "r", int(i < 1_600), None) for i, _, _, _ in rows]
+    sample = cnn.reviewed(docs(spark, rows), spark.createDataFrame(labels, "doc_id bigint, rater string, abusive int, category string")).collect()
+    assert sorted(r["doc_id"] for r in sample) == [i for i, t, _, _ in rows if t is not None]
+    assert {len(r["words"]) for r in sample if r["doc_id"] >= 9_000} == {60_000, 0} and sum(r["yes"] for r in sample) == 1_600
+
+
+def test_training_goes_through_every_document(monkeypatch):
+    """Also where blocks hold one kind only, and one kind is rare or missing."""
+    for abusive in ({7, 130}, {299}, set(range(40)), set(), set(range(300))):
+        seen, most = set(), []
+        update = cnn.Training._update
+        monkeypatch.setattr(cnn, "BLOCK", 40)
+        monkeypatch.setattr(cnn.Training, "_update", lambda self, pick, seen=seen, most=most, update=update: (seen.update(len(d) for d, _ in pick), most.append(len(pick)), update(self, pick)))
+        net = cnn.train([np.full(k + 1, 5) for k in range(300)], np.array([float(k in abusive) for k in range(300)]), updates=1)
+        monkeypatch.undo()
+        assert seen == set(range(1, 301)) and set(most) == {48} and np.isfinite(net.embedding).all()
+        assert abusive and len(abusive) < 300 or (net.out == 0).all() and net.out_bias == (10 if abusive else -10)
+
+
+def test_strongest_positions_in_pieces(monkeypatch):
+    net, g = cnn.Network.fresh(3), np.random.default_rng(0)
+    bodies = [g.integers(1, 1_000, n).astype(np.uint16) for n in (0, 1, 3, 7, 50, 64, 65, 129, 300, 5)]
+    top, seen = net.strongest(bodies)
+    assert np.allclose(np.maximum(top + net.bias, 0) @ net.out + net.out_bias, net.scores(bodies), atol=1e-5)
+    for words in (7, 64, 100):
+        monkeypatch.setattr(cnn, "WORDS", words)
+        again, same = net.strongest(bodies)
+        assert np.allclose(again, top, atol=1e-5)
+        for k, w in enumerate(cnn.WIDTHS):
+            cols = slice(k * cnn.FILTERS, (k + 1) * cnn.FILTERS)
+            assert (same[1:, cols, :w] == seen[1:, cols, :w]).all()
+
+
+def test_trainings_in_tasks_are_those_in_memory(spark):
+    bodies = corpus(90, 4)
+    frame = docs(spark, [(i, b, ["en", "de"][i % 2], "s") for i, (b, _) in enumerate(bodies)]).repartition(5)
+    labels = spark.createDataFrame([(i, f"r{k}", int(bad), None) for i, (_, bad) in enumerate(bodies) for k in range(1 + i % 2)], "doc_id bigint, rater string, abusive int, category string")
+    rows = sorted(cnn.reviewed(frame, labels).collect(), key=lambda r: r["h"])
+    here = cnn.fit([(np.frombuffer(r["words"], "<u2"), r["language"], r["yes"], r["no"]) for r in rows], updates=15)
+    there = cnn.fit_reviewed(frame, labels, updates=15)
+    assert here.thresholds.keys() == there.thresholds.keys() and np.allclose([here.thresholds[k] for k in here.thresholds], [there.thresholds[k] for k in here.thresholds], atol=1e-3)
+    assert np.allclose(here.embedding, there.embedding, atol=1e-3) and np.allclose(here.out, there.out, atol=1e-3)
+
+
 def test_no_labels(spark):
     frame = docs(spark, [(1, "some words", "en", "s")])
     empty = spark.createDataFrame([], "doc_id bigint, rater string, abusive int, category string")
