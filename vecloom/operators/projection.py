@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vecloom.operators.coarse import double_lists, in_order, in_order_dots, matrix
+from vecloom.operators.coarse import distinct, double_lists, in_order, in_order_dots, matrix
 from vecloom.operators.positions import running
-from vecloom.sources.tables import ship_code
+from vecloom.sources.tables import durable, ship_code, slices, small_enough
 
 #: Places of a sorted list that are searched together at least, and at most unless a window is wider.
 LEAST_BLOCK, MOST_BLOCK = 1_024, 8_192
 _PAIRS = 2_000_000
+#: Points of a group up to which a task holds all of them, pairs of a point and a query that a task goes through, and queries that are worth another reading of the points.
+WHOLE, WORK, LEAST_ASKS = 524_288, 64_000_000, 640
+#: The same where points come as places in sorted lists: points of a part, and queries.
+LIST_PART, LIST_ASKS = 32_768, 2_048
+#: Bytes up to which the layout of the groups (a row each) is broadcast.
+LAYOUT_LIMIT = 4 * 2**20
 
 
 def random_axes(count: int, d: int, seed: int = 0, orthonormal: bool = False) -> np.ndarray:
@@ -102,6 +110,188 @@ def candidates(lists: DataFrame, by: list[str], w: int | str) -> DataFrame:
     return window_members(lists, by, w).select("qid", "id").distinct()
 
 
+def _lone(ids: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """As :func:`distinct`; only vectors of repeated ids are sorted."""
+    order = np.argsort(ids, kind="stable")
+    same = ids[order][1:] == ids[order][:-1]
+    more = np.r_[same, False] | np.r_[False, same]
+    some = order[more]
+    kept = np.r_[order[~more], some[distinct(ids[some], x[some])]] if len(some) else order
+    return kept[np.argsort(ids[kept], kind="stable")]
+
+
+class _Sorted:
+    """All points of a group in the order of each axis, by (projection, id)."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, axes: np.ndarray, share: float, least: int):
+        own, self.axes = _lone(ids, x), axes
+        ids, x = ids[own], x[own]
+        fresh = np.r_[True, ids[1:] != ids[:-1]]
+        self.ids, place = ids[fresh], np.cumsum(fresh) - 1
+        self.n, self.w = len(ids), max(least, math.ceil(len(ids) * share))
+        self.p, self.order = np.empty((len(axes), self.n)), np.empty((len(axes), self.n), np.intp)
+        for a in range(0, self.n, MOST_BLOCK):
+            self.p[:, a : a + MOST_BLOCK] = in_order_dots(x[a : a + MOST_BLOCK].astype(np.float64), axes).T
+        for i, p in enumerate(self.p):
+            order = np.argsort(p, kind="stable")
+            self.order[i], self.p[i] = place[order], p[order]
+
+    def windows(self, q: np.ndarray) -> Iterator[list[np.ndarray]]:
+        """Per query the windows about it, as places in ``ids``."""
+        at = np.stack([np.searchsorted(p, c) for p, c in zip(self.p, in_order_dots(q.astype(np.float64), self.axes).T)], 1)
+        for los, his in zip(np.maximum(at - self.w, 0).tolist(), (at + self.w).tolist()):
+            yield [order[lo:hi] for order, lo, hi in zip(self.order, los, his)]
+
+
+class _Placed:
+    """Some points of sorted lists (axis, pos), in the order of each axis."""
+
+    def __init__(self, ids: np.ndarray, axis: np.ndarray, pos: np.ndarray, _):
+        self.ids, place = np.unique(ids, return_inverse=True)
+        self.lists = {}
+        for a in np.unique(axis).tolist():
+            own = np.flatnonzero(axis == a)
+            own = own[np.argsort(pos[own], kind="stable")]
+            self.lists[a] = pos[own], place[own]
+
+    def windows(self, axis: np.ndarray, pos: np.ndarray, w: np.ndarray) -> Iterator[list[np.ndarray]]:
+        """Per query and axis the points at places [pos - w, pos + w)."""
+        for a, lo, hi in zip(axis.tolist(), (pos - w).tolist(), (pos + w).tolist()):
+            at, place = self.lists.get(a, (np.empty(0), np.empty(0, np.intp)))
+            yield [place[slice(*np.searchsorted(at, (lo, hi)).tolist())]]
+
+
+def _unions(m: int, d: int, ready_of, name: str):
+    """(qid, id), each pair of a key once, of rows (key of ``m`` columns, side, who, ...) sorted by key, side and who: points of a key come first, then its queries.
+
+    ``ready_of`` makes the points of a key ready to be asked for windows.
+    """
+    schema = pa.schema([("qid", pa.int64()), (name, pa.int64())])
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+        last, parts, ready, asking, mark = None, [], None, None, None
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            keys = [b.column(i).to_numpy(zero_copy_only=False) for i in range(m)]
+            side, who = (b.column(m + i).to_numpy(zero_copy_only=False) for i in range(2))
+            rest = [matrix(c, d) if pa.types.is_list(c.type) else c.to_numpy(zero_copy_only=False) for c in b.columns[m + 2 :]]
+            cuts = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in keys], axis=0)] if n > 1 else [True])
+            for a, z in zip(cuts.tolist(), np.r_[cuts[1:], n].tolist()):
+                if (here := tuple(c[a] for c in keys)) != last:
+                    if asking is not None:
+                        yield asking, ready.ids[np.flatnonzero(mark)]
+                    last, parts, ready, asking = here, [], None, None
+                split = a + int((side[a:z] == 0).sum())
+                if split > a:
+                    parts.append([c[a:split].copy() for c in (who, *rest)])
+                if split == z or not (parts or ready):
+                    continue
+                if not ready:
+                    points = [np.concatenate(c) for c in zip(*parts)]
+                    parts = []
+                    ready = ready_of(*points)
+                    mark = np.zeros(len(ready.ids), bool)
+                for qid, windows in zip(who[split:z].tolist(), ready.windows(*(c[split:z] for c in rest))):
+                    if qid != asking:  # a query's rows may lie in two batches
+                        if asking is not None:
+                            yield asking, ready.ids[np.flatnonzero(mark)]
+                        asking = qid
+                        mark[:] = False
+                    for w in windows:
+                        mark[w] = True
+        if asking is not None:
+            yield asking, ready.ids[np.flatnonzero(mark)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, ids, held = [], [], 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(qids, np.int64), [len(i) for i in ids])), pa.array(np.concatenate(ids), pa.int64())], schema=schema)
+
+        for qid, some in found(batches):
+            qids.append(qid)
+            ids.append(some)
+            held += len(some)
+            if held >= _PAIRS // 2:
+                yield out()
+                qids, ids, held = [], [], 0
+        if qids:
+            yield out()
+
+    return run
+
+
+def _met(points: DataFrame, asks: DataFrame, layout: DataFrame, by: list[str], d: int, ready_of, part: int, least_asks: int, work: int, name: str) -> DataFrame:
+    """(qid, ``name``) of the windows that ``asks`` (by, qid, ...) have among ``points`` (by, id, ...); ``layout``: (by, n, asks), the groups to be searched.
+
+    A group's points are cut by their id into parts of about ``part``, its queries by theirs into chunks; a chunk and a part meet in one
+    task, which takes as many neighbouring ones as make about ``work`` pairs.  So a pair is found once, and none is shuffled.
+    """
+    pairs = F.col("n") * F.col("asks")
+    total = layout.agg(F.sum(pairs)).first()[0] or 0
+    work = max(1, min(work, total // (2 * slices(points.sparkSession))))
+    before = F.coalesce(F.sum(pairs).over(W.orderBy(*by).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = F.ceil(F.col("n") / part)
+    chunks = F.ceil(F.col("asks") / F.greatest(F.lit(least_asks), F.floor(F.lit(work) * parts / F.col("n"))))
+    layout = durable(layout.select(*by, before.alias("_before"), parts.cast("int").alias("_parts"), chunks.cast("int").alias("_chunks"), (pairs / (parts * chunks)).alias("_each")))
+    if small_enough(layout, 64, LAYOUT_LIMIT):
+        layout = F.broadcast(layout)
+    share = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    key, rest = [*by, "_part", "_chunk"], [c for c in points.columns if c not in (*by, "id")]
+
+    def side(rows: DataFrame, which: int, who: str, by_part: Column, by_chunk: Column) -> DataFrame:
+        placed = rows.join(layout, by).withColumn("_part", by_part).withColumn("_chunk", by_chunk)
+        task = F.floor((F.col("_before") + (F.col("_part") * F.col("_chunks") + F.col("_chunk")) * F.col("_each")) / work).cast("int")
+        return placed.select(*key, F.lit(which).alias("_side"), F.col(who).cast("bigint").alias("_who"), *rest, task.alias("_task"))
+
+    met = side(points, 0, "id", share("id", "_parts"), every("_chunks")).unionByName(side(asks, 1, "qid", every("_parts"), share("qid", "_chunks")))
+    spread = met.repartitionById(total // work + 1, "_task").drop("_task").sortWithinPartitions(*key, "_side", "_who")
+    return spread.mapInArrow(_unions(len(key), d, ready_of, name), f"qid bigint, `{name}` bigint")
+
+
+def _once(asks: DataFrame, by: list[str], found) -> DataFrame:
+    """``found(asks)``, in which only a query that asks in several groups can meet an id twice."""
+    several = durable(asks.select("qid", *by).distinct().groupBy("qid").count().where("count > 1").select("qid"))
+    if several.isEmpty():
+        return found(asks)
+    return found(asks.join(several, "qid", "left_anti")).unionByName(found(asks.join(several, "qid", "left_semi")).distinct())
+
+
+def wide_candidates(lists: DataFrame, by: list[str], w: int | str, part: int = LIST_PART, work: int = WORK, name: str = "id") -> DataFrame:
+    """(qid, ``name``): as :func:`candidates`, for windows that hold a good part of a list: a query visits all parts of its group, and no pair is shuffled."""
+    ship_code(lists.sparkSession)
+    counts = lists.groupBy(*by, "axis").agg(F.sum("is_point").alias("n"), F.sum(1 - F.col("is_point")).alias("asks"))
+    layout = durable(counts.groupBy(*by).agg(F.max("n").alias("n"), F.max("asks").alias("asks")).where("n > 0 and asks > 0"))
+    side = lambda which, who: lists.where(F.col("is_point") == which).select(*by, F.col("who").alias(who), "axis", "pos", _window(w).cast("bigint").alias("_w"))
+    return _once(side(0, "qid"), by, lambda asks: _met(side(1, "id"), asks, layout, by, 0, _Placed, part, LIST_ASKS, work, name))
+
+
+def scaled_candidates(points: DataFrame, asks: DataFrame, axes: DataFrame, by: list[str], share: float, least: int, d: int, whole: int = WHOLE, work: int = WORK, name: str = "id") -> DataFrame:
+    """(qid, ``name``): what :func:`candidates` gives of the :func:`scaled` lists of points (by, id, vec) and asks (by, qid, vec).
+
+    Rows must be usable; whole rows repeated count once.  A group of up to ``whole`` rows is sorted where its queries come, and no list of
+    it is shuffled; larger groups go by sorted lists.  The result is too long for its columns to be renamed afterwards at no cost.
+    """
+    ship_code(points.sparkSession)
+    points, asks = points.select(*by, "id", "vec"), asks.select(*by, "qid", "vec")
+    layout = durable(points.groupBy(*by).agg(F.count("*").alias("n")).join(asks.groupBy(*by).agg(F.count("*").alias("asks")), by))
+    a = np.array([v for _, v in axis_rows(axes)], np.float64)
+
+    def found(asks: DataFrame) -> DataFrame:
+        out = _met(points, asks, layout.where(F.col("n") <= whole), by, d, lambda ids, x: _Sorted(ids, x, a, share, least), whole, LEAST_ASKS, work, name)
+        large = layout.where(F.col("n") > whole).select(*by)
+        if large.isEmpty():
+            return out
+        own = durable(projections(points.join(large, by, "left_semi").distinct(), axes, "vec", d))
+        lists = sorted_lists(own, projections(asks.join(large, by, "left_semi"), axes, "vec", d), by)
+        return out.unionByName(wide_candidates(scaled(lists, by, share, least), [*by, "w"], "w", name=name))
+
+    return _once(asks, by, found)
+
+
 def _block_best(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, lo: np.ndarray, hi: np.ndarray, k: int) -> list[np.ndarray]:
     """(qid, id, squared distance) of each query's k best of the rows lo to hi of one block, by (distance, id)."""
     dist = (x * x).sum(1)[None] + (q * q).sum(1)[:, None] - 2.0 * (q @ x.T)

@@ -266,7 +266,8 @@ def _directions_found(spark, base):
 
 @register()
 def projection_index_candidates(spark, base):
-    return projection.candidates(_direction_lists(spark, base), ["index_id", "w"], "w").select("qid", F.col("id").alias("global_id"))
+    own, asks = projection.axis_table(spark, projection.random_axes(DIRECTIONS, D)), asked(spark, base).withColumnRenamed("id", "qid")
+    return projection.scaled_candidates(loaded(spark, base), asks, own, ["index_id"], SHARE, LEAST_WINDOW, D, name="global_id")
 
 
 @register()
